@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 96
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: fixed values: the code points with the White_Space property
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = 1 << 60
@@ -72,7 +72,8 @@ class WordBpe:
         self.bytes = byte_alphabet()
         letters, numbers = _ranges("L"), _ranges("N")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
-        self.spaces = re.compile(f"[{SPACE}]+").sub
+        latin = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{latin['L']}]+|[{latin['N']}]|[^\\x09-\\x0d\\x20\\x85\\xa0{latin['L']}{latin['N']}]+").findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.cache = _Words(self)
 
@@ -118,10 +119,14 @@ class WordBpe:
                     heapq.heappush(heap, (pairs[p][0], x, *p))
         return [p for p, a in zip(parts, alive, strict=True) if a]
 
-    def normalise(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # per character, so no final sigma
-        return self.spaces(" ", text).lower()
+    def split(self, text: str) -> list[str]:
+        """The words of a text after NFC and lower case; white space only separates words, so its runs stay as they are."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # per character, so no final sigma
+            return self.words(text)
+        return self.latin_words(text.lower())  # already NFC, and stays within Latin-1
 
     def pieces(self, text: str) -> Iterator[tuple[str, int, str]]:
         """(ids as text, number of ids, decoded text) of each word or special token in order."""
@@ -130,7 +135,7 @@ class WordBpe:
             if k % 2:
                 yield str(self.special[part]), 1, part
             elif part:
-                yield from [cache[w] for w in self.words(self.normalise(part))]
+                yield from [cache[w] for w in self.split(part)]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, n, _ in self.pieces(text or "") if n for i in ids.split(" ")]
