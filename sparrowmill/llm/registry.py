@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import bpe, exact_dedup
+from sparrowmill.llm import bpe, exact_dedup, toxicity
 from sparrowmill.llm.scratch import read
 
 
@@ -24,5 +24,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_exact_dedup)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_exact_dedup, op8_toxicity)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
