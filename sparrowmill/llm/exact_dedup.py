@@ -83,14 +83,15 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with all their columns."""
+    """The rows of ``docs`` that stay, one for each text, with all their columns. Only the ids that go are joined."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    kept = scratch.keep(dedup(docs, index).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct(), "kept")
-    again = docs.withColumn("__digest", F.sha2(normalised(F.col("text")), 256))
-    hit = (F.col("doc_id").eqNullSafe(F.col("kept_id"))) & (F.col("__digest") == F.col("text_sha256"))
-    once = again.join(kept, hit, "left_semi")
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (once.dropDuplicates(["doc_id", "__digest"]) if repeats else once).select(*docs.columns)
+    told = scratch.keep(dedup(docs, index), "told")
+    gone = scratch.keep(told.where("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct(), "gone")
+    repeated = told.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    marked = docs.withColumn("__digest", F.sha2(normalised(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__digest") == F.col("text_sha256"))
+    stay = marked.join(gone, same, "left_anti")
+    return (stay.dropDuplicates(["doc_id", "__digest"]) if repeated else stay).select(*docs.columns)
 
 
 ORACLE = f"""

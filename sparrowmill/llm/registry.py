@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import bpe, exact_dedup, mixing, toxicity
+from sparrowmill.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from sparrowmill.llm.scratch import read
 
 
@@ -28,9 +28,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_exact_dedup, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_exact_dedup, op8_toxicity, op9_jaccard_join, op10_mixing)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.oracle()}
