@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from sparrowmill.llm import bpe, exact_dedup, jaccard_join, language, mixing, quality, toxicity
 from sparrowmill.llm.scratch import read
 
 
@@ -16,6 +16,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -24,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,5 +44,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_exact_dedup, op8_toxicity, op9_jaccard_join, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_bpe, op4_exact_dedup, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.oracle()}
