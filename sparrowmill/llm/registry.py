@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import bpe, exact_dedup, html_extract, jaccard_join, language, mixing, quality, toxicity
+from sparrowmill.llm import bpe, exact_dedup, html_extract, jaccard_join, language, line_dedup, mixing, quality, toxicity
 from sparrowmill.llm.scratch import read
 
 
@@ -28,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.told(read(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read(spark, sf_dir, "pages"))
 
@@ -48,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_bpe, op4_exact_dedup, op6_html, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_bpe, op4_exact_dedup, op5_line_dedup, op6_html, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.oracle()}
