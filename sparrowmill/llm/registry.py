@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import bpe, exact_dedup, html_extract, jaccard_join, language, line_dedup, mixing, quality, toxicity
+from sparrowmill.llm import bpe, exact_dedup, html_extract, jaccard_join, language, line_dedup, mixing, neighbours, quality, toxicity
 from sparrowmill.llm.scratch import read
 
 
@@ -20,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -52,5 +56,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_bpe, op4_exact_dedup, op5_line_dedup, op6_html, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_bpe, op4_exact_dedup, op5_line_dedup, op6_html, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.oracle()}
