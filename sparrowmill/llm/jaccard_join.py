@@ -2,17 +2,17 @@
 
 Sets are hashes of distinct word shingles. Documents with equal sets share one representative. Tokens are ordered from
 rare to frequent by a frequency sketch of fixed size that counts every shingle of the corpus; any fixed order gives the
-same links, a good one makes lists short. Two linked sets share a token among the first few of each, so only these
-prefix tokens are shuffled, and only those that two representatives share go on.
+same links, a good one makes lists short. Of a set of n tokens the first n - ceil(percent * n / 100) + need(n) are its
+prefix: two linked sets share at least need tokens of their prefixes, need being that of the smaller one. Only prefix
+tokens are shuffled, and only those that two representatives share, of representatives with enough of them, go on.
 
 Representatives that share prefix tokens are partitioned into groups: labels spread along shared tokens for a few
 rounds, and a label with many documents is split into blocks of bounded size. The token-group matrix holds for every
-prefix token the groups it occurs in, with their lengths and the most tokens that can follow it. A representative is
-checked against the groups of its tokens: the overlap with any member is bounded by what follows the token on either
-side, and a group is opened only when bound and lengths allow a link. In an opened group the overlaps of all members
-and visitors are one product of their token matrix with itself, exactly, and what leaves the task is a spanning forest
-of the links, never all pairs. Visitors come in bounded portions. Components then follow by label propagation with
-pointer jumping over tables in the shared folder.
+prefix token the groups it occurs in, with the lengths found there. The overlap of a representative's prefix with a
+group's union bounds that with any member, and a group is opened only when bound and lengths allow a link. In an opened
+group the overlaps of all members and visitors are one product of their token matrix with itself, exactly, and what
+leaves the task is a spanning forest of the links, never all pairs. Visitors come in bounded portions. Components then
+follow by label propagation with pointer jumping over tables in the shared folder.
 
 Nothing is sampled or capped: sketch, labels and blocks only decide where a pair is examined.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sparrowmill.llm.scratch import Scratch
 from sparrowmill.llm.shingles import MIX, mixed, shingle_sets
 
-SKETCH_BITS, PARTS = 19, 32
+SKETCH_BITS, PARTS = 22, 64
 BLOCK_DOCS, BLOCK_TOKENS = 1000, 1_000_000
 ROUNDS = 3
 
@@ -42,51 +42,64 @@ def linked(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> n
     return 100 * overlap >= percent * (n + m - overlap)
 
 
+def need(n):
+    """How many tokens the prefixes of two linked sets share at least, for the smaller set of n tokens."""
+    return 1 + n // 20
+
+
 def prefix_size(n: int, percent: int) -> int:
-    """Two linked sets share a token among the first ``prefix_size`` of each, in any common order."""
-    return n - -(-percent * n // 100) + 1
+    """Two linked sets share ``need`` tokens among the first ``prefix_size`` of each, in any common order."""
+    return min(n, n - -(-percent * n // 100) + need(n))
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """A level for each of 2^SKETCH_BITS buckets of hashes: 0 up to twice the mean count, one more for each doubling."""
+    """For each of 2^SKETCH_BITS buckets of hashes how many shingles fell there, up to 65535.
+
+    A task's count of a bucket is cut at 255: the sketch only puts tokens in order, and that far up the order is the same.
+    """
     wide = (1 << SKETCH_BITS) // PARTS
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             held, n = [], 0
             for s in shingle_sets(batch.column(0), size):
-                held.append(s)
+                held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 n += len(s)
-                if n > 1 << 20:
-                    total += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(total))
+                if n > 1 << 21:
+                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
                     held, n = [], 0
-            if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            if n:
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
         if total.any():
-            salt = TaskContext.get().partitionId() % 64
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(PARTS), pa.int32()), pa.array([salt] * PARTS, pa.int32()), pa.array(list(total.reshape(PARTS, wide)), pa.list_(pa.int64()))], ["part", "salt", "counts"]
-            )
+            low = np.minimum(total, 255).astype(np.uint8).reshape(PARTS, wide)
+            salt = TaskContext.get().partitionId() // 16
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), pa.array([salt] * PARTS, pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], ["part", "salt", "counts"])
 
-    def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "salt": [0], "counts": [np.sum(np.stack(frame["counts"].to_list()), 0)]})
+    def summed(kind, to):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(wide, np.int64)
+            for x in frame["counts"]:
+                total += np.frombuffer(x, kind)
+            return pd.DataFrame({"part": [frame["part"].iloc[0]], "salt": [0], "counts": [np.minimum(total, 65535).astype(to).tobytes()]})
 
-    schema = "part int, salt int, counts array<bigint>"
-    parts = docs.select("text").mapInArrow(count, schema).groupBy("part", "salt").applyInPandas(summed, schema).groupBy("part").applyInPandas(summed, schema)
-    total = np.zeros((PARTS, wide), np.int64)
-    for r in parts.collect():  # 4 MB whatever the corpus
-        total[r.part] = r.counts
-    total = total.ravel()
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / max(total.mean(), 0.5)))).astype(np.uint8)
+        return run
 
+    schema = "part int, salt int, counts binary"
+    parts = docs.select("text").mapInArrow(count, schema)
+    parts = parts.groupBy("part", "salt").applyInPandas(summed(np.uint8, np.uint16), schema).groupBy("part").applyInPandas(summed(np.uint16, np.uint16), schema)
+    total = np.zeros((PARTS, wide), np.uint16)
+    for r in parts.toLocalIterator():  # 8 MB whatever the corpus
+        total[r.part] = np.frombuffer(r.counts, np.uint16)
+    return total.ravel()
 
-def summaries(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
+
+def summaries(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
     """Per row: doc_id, n, a 128-bit fingerprint of the set, and the prefix tokens in common order."""
-    spread = docs.sparkSession.sparkContext.broadcast(levels)  # 512 KB whatever the corpus
+    spread = docs.sparkSession.sparkContext.broadcast(counts)  # 8 MB whatever the corpus
 
     def run(batches):
-        level = spread.value
+        count = spread.value
         for batch in batches:
             n, a, b, prefixes = [], [], [], []
             for s in shingle_sets(batch.column(1), size):
@@ -94,16 +107,19 @@ def summaries(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> D
                 x = mixed(s + MIX[0])
                 a.append(int(np.add.reduce(x)) if len(s) else 0)
                 b.append(int(np.bitwise_xor.reduce(mixed(x))) if len(s) else 0)
-                own = level[s >> np.uint64(64 - SKETCH_BITS)]
-                k = prefix_size(len(s), percent) if len(s) else 0
-                order = np.argsort(own, kind="stable")[:k] if own.any() else slice(0, k)  # within a level by hash
-                prefixes.append(s[order].view(np.int64))
+                order = np.argsort(count[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")  # equal counts by hash
+                prefixes.append(s[order[: prefix_size(len(s), percent)]].view(np.int64))
             ints = lambda v: pa.array(np.asarray(v, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), ints(a), ints(b), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "prefix"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>")
 
 
+def enough(percent: int):
+    """Tokens that a set of n tokens shares at least with the prefix of a set that it links with."""
+    return F.expr(f"1 + ceil({percent} * n / 100) DIV 20")
+
+
 def grouped(shared: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, home, block) of every representative that shares a token: labels along tokens, split into bounded blocks."""
     homes = scratch.keep(shared.groupBy("rep").agg(F.min("token").alias("home"), F.max("n").alias("n")), "homes")
@@ -118,20 +134,17 @@ def grouped(shared: DataFrame, scratch: Scratch) -> DataFrame:
 def openings(shared: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(home, block, rep, guest): members and visitors of every group to open."""
     rows = scratch.keep(shared.join(groups, "rep"), "rows")
-    matrix = rows.groupBy("token", "home", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    matrix = rows.groupBy("token", "home", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     several = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    matrix = matrix.join(several, "token").select("token", F.col("home").alias("to_home"), F.col("block").alias("to_block"), "n_min", "n_max", "rest")
-    # overlap >= need(n, m) = ceil(percent * (n + m) / (100 + percent)), least for the shortest member that can link
-    bound = f"""
-        n_max * 100 >= {percent} * n AND n * 100 >= {percent} * n_min AND
-        least(n - pos, rest) * (100 + {percent}) >= {percent} * (n + greatest(n_min, ceil({percent} * n / 100)))
-    """
+    matrix = matrix.join(several, "token").select("token", F.col("home").alias("to_home"), F.col("block").alias("to_block"), "n_min", "n_max")
     visits = (
         rows.join(matrix, "token")
-        .where("(home < to_home OR home = to_home AND block < to_block)")
-        .where(bound)
-        .select(F.col("to_home").alias("home"), F.col("to_block").alias("block"), "rep")
-        .distinct()
+        .where("home < to_home OR home = to_home AND block < to_block")
+        .where(f"n_max * 100 >= {percent} * n AND n * 100 >= {percent} * n_min")
+        .groupBy(F.col("to_home").alias("home"), F.col("to_block").alias("block"), "rep", "n")
+        .agg(F.count("*").alias("bound"))
+        .where(F.col("bound") >= enough(percent))
+        .select("home", "block", "rep")
     )
     both = groups.select("home", "block", "rep", F.lit(False).alias("guest")).unionByName(visits.withColumn("guest", F.lit(True)))
     both = scratch.keep(both, "openings")
@@ -142,14 +155,14 @@ def openings(shared: DataFrame, groups: DataFrame, percent: int, scratch: Scratc
     return scratch.keep(dealt.select("home", "block", "rep", "guest", F.explode(portion).alias("portion")), "portions")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, tokens) of the wanted documents. A bit filter of fixed size keeps most other texts out of the shuffle; the join after it is exact."""
+def sets_of(docs: DataFrame, opened: DataFrame, size: int) -> DataFrame:
+    """``opened`` with the tokens of each document. A bit filter of fixed size keeps most other texts out of the shuffle; the join after it is exact."""
     bits = 23
     slot = F.shiftrightunsigned(F.xxhash64("rep"), 64 - bits)
-    words = wanted.select(slot.alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = opened.select(slot.alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     table = np.zeros(1 << (bits - 5), np.int64)
-    for r in words.toLocalIterator():  # 2^18 rows at most
-        table[r.word] = r.bits
+    found = words.toPandas()  # 2^18 rows at most
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     spread = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -162,7 +175,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(2), size)], pa.list_(pa.int64()))], ["rep", "tokens"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("rep"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("h"), "text")
-    return rows.mapInArrow(run, "rep bigint, tokens array<bigint>").join(wanted, "rep", "left_semi")
+    return rows.mapInArrow(run, "rep bigint, tokens array<bigint>").join(opened, "rep")
 
 
 def components(link: np.ndarray) -> np.ndarray:
@@ -228,12 +241,14 @@ def joined(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     rows = scratch.keep(summaries(docs, size, percent, sketch(docs, size)), "sets")
     identity = ["fp1", "fp2", "n"]
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
-    prefixes = classes.select(F.col("first.doc_id").alias("rep"), "n", F.posexplode("first.prefix").alias("pos", "token"))
-    shared = scratch.keep(prefixes.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k"), "shared")
+    classes = scratch.keep(classes.select(F.col("first.doc_id").alias("rep"), "n", F.col("first.prefix").alias("prefix")), "classes")
+    tokens = classes.select("rep", F.explode("prefix").alias("token")).withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
+    tokens = scratch.keep(tokens, "tokens")
+    able = tokens.groupBy("rep").agg(F.count("*").alias("k")).join(classes.groupBy("rep").agg(F.min("n").alias("n")), "rep")
+    shared = scratch.keep(tokens.join(able.where(F.col("k") >= enough(percent)).select("rep", "n"), "rep"), "shared")
     groups = grouped(shared, scratch)
     opened = openings(shared, groups, percent, scratch)
-    sets = scratch.keep(sets_of(docs, opened.select("rep").distinct(), size), "opened-sets")
-    links = opened.join(sets, "rep").groupBy("home", "block", "portion").applyInPandas(lambda f: spanned(f, percent), "a bigint, b bigint")
+    links = sets_of(docs, opened, size).groupBy("home", "block", "portion").applyInPandas(lambda f: spanned(f, percent), "a bigint, b bigint")
     label = labelled(links, scratch)
     ids = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
     ids = ids.join(label.withColumnRenamed("node", "rep"), "rep", "left").where("k > 1 OR label IS NOT NULL").select(*identity, F.coalesce("label", "rep").alias("component"))
