@@ -34,7 +34,7 @@ from sparrowmill.llm.scratch import Scratch
 from sparrowmill.llm.shingles import MIX, mixed, shingle_sets
 
 SKETCH_BITS, PARTS = 22, 64
-BLOCK_DOCS, BLOCK_TOKENS = 1000, 1_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 500, 500_000
 ROUNDS = 3
 
 
@@ -66,7 +66,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
             for s in shingle_sets(batch.column(0), size):
                 held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 n += len(s)
-                if n > 1 << 21:
+                if n > 1 << 19:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
                     held, n = [], 0
             if n:
@@ -211,7 +211,7 @@ def spanned(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         part = np.zeros((len(sets), width), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
         overlap += part @ part.T
-    link = linked(overlap.astype(np.int64), n[:, None], n[None, :], percent)
+    link = linked(overlap.astype(np.int32), n.astype(np.int32)[:, None], n.astype(np.int32)[None, :], percent)
     link[np.ix_(guest, guest)] = False  # two visitors meet in a group of their own
     label = components(link)
     far = label != np.arange(len(sets))

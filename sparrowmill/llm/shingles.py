@@ -9,7 +9,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 _SPACE = np.zeros(256, bool)
