@@ -30,3 +30,19 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def sql_query(name: str, text: str, oracle: str | None = None) -> None:
+    """Register a query given as SQL over ``{table}`` names; the same text is its oracle unless another is given."""
+    used = [t for t in TABLES if f"{{{t}}}" in text]
+
+    def run(t: Tables) -> DataFrame:
+        return t.spark.sql(text, **{x: t[x] for x in used})
+
+    plain = text
+    for x in used:
+        plain = plain.replace(f"{{{x}}}", x)
+    query(name, oracle or plain)(run)
