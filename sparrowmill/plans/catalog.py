@@ -1,6 +1,6 @@
 """All queries over the reference's operators."""
 
-from sparrowmill.plans import flagship
+from sparrowmill.plans import flagship, relational  # noqa: F401
 from sparrowmill.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = flagship.FLAGSHIP
