@@ -1,9 +1,9 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 A text's sentences are read as units: its white-space tokens in lower case, tokens with the signs inside them taken
-out ("l.o.s.e.r"), and runs of single characters joined ("l o s e r"). The kernel of two units is the normalised
+out ("l.o.s.e.r"), and runs of single characters joined ("l o s e r"). The kernel of two units is the
 gap-weighted count of the subsequences of three characters that they share, each weighted by LAMBDA to the power of the
-stretch it covers (MAX_SPAN at most), so that insults with gaps or inserted characters stay close to the plain word.
+stretch it covers (MAX_SPAN at most) and divided by a norm that goes with the units' lengths, so that insults with gaps or inserted characters stay close to the plain word.
 
 Training reads a bounded sample: at most ``per_class`` labelled rows of each class, those with the smallest hash of the
 id. A labelled sentence is a bag of units; the witness of a toxic document is the unit that is most significantly more
@@ -23,11 +23,11 @@ alike; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,23 +38,18 @@ from pyspark.sql import functions as F
 from sparrowmill.llm.scratch import Scratch
 
 LAMBDA, MAX_SPAN, WINDOW = 0.6, 6, 30
-CACHE_UNITS = 800_000
+CACHE_UNITS, PORTION = 400_000, 1000
 RUN = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 #: fixed values: signs written for letters
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 STEPS = [(a, b) for a in range(1, MAX_SPAN - 1) for b in range(1, MAX_SPAN - a)]
-_CODES: dict[str, int] = {}
+_TABLE = np.zeros(0x110000, np.uint8)
 
 
 def code(c: str) -> int:
     """1 to 26 for letters without accents, 27 for other letters, 28 for other signs; 30 and 31 mark a unit's ends."""
-    found = _CODES.get(c)
-    if found is None:
-        base = unicodedata.normalize("NFKD", LOOKALIKE.get(c, c))[:1].lower()
-        found = ord(base) - 96 if "a" <= base <= "z" else 27 if c.isalpha() else 28
-        if len(_CODES) < 100_000:
-            _CODES[c] = found
-    return found
+    base = unicodedata.normalize("NFKD", LOOKALIKE.get(c, c))[:1].lower()
+    return ord(base) - 96 if "a" <= base <= "z" else 27 if c.isalpha() else 28
 
 
 def stripped(token: str) -> str:
@@ -92,40 +87,36 @@ def variants(token: str) -> list[str]:
 
 def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of character codes and the unit of each row; longer units become overlapping windows."""
-    rows, owner = [], []
-    for k, unit in enumerate(units):
-        codes = [30, *map(code, unit), 31]
-        for at in range(0, max(1, len(codes) - WINDOW // 2), WINDOW // 2) if len(codes) > WINDOW else (0,):
-            rows.append(codes[at : at + WINDOW])
-            owner.append(k)
-    width = max(map(len, rows), default=3)
-    out = np.zeros((len(rows), max(width, 3)), np.int32)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out, np.asarray(owner, np.int64)
+    whole = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in np.unique(whole[_TABLE[whole] == 0]):
+        _TABLE[c] = code(chr(c))
+    sizes = np.array([len(u) for u in units])
+    begins = np.cumsum(sizes) - sizes
+    wide = sizes + 2
+    half = WINDOW // 2
+    windows = np.where(wide <= WINDOW, 1, -(-(wide - half) // half))
+    owner = np.repeat(np.arange(len(units)), windows)
+    first = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * half
+    at = first[:, None] + np.arange(max(3, min(WINDOW, int(wide.max(initial=3)))))[None, :]  # 0 is the mark before the unit
+    size = sizes[owner][:, None]
+    inside = (at >= 1) & (at <= size)
+    coded = _TABLE[whole[np.where(inside, begins[owner][:, None] + at - 1, 0)]] if len(whole) else np.zeros(at.shape, np.uint8)
+    return np.where(inside, coded, np.where(at == 0, 30, np.where(at == size + 1, 31, 0))).astype(np.int32), owner
+
+
+NORM = np.sqrt(np.maximum([sum(max(0, n - a - b) * LAMBDA ** (2 * (a + b + 1)) for a, b in STEPS) for n in range(WINDOW + 1)], 1e-9)).astype(np.float32)
 
 
 def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of all subsequences of each row, and their weights divided by the row's norm in the kernel's space."""
-    n, width = codes.shape
+    """Indexes of all subsequences of each row, and their weights divided by the norm of rows of that length."""
+    width = codes.shape[1]
     index, weight = [], []
     for a, b in STEPS:
         if a + b < width:
-            x, y, z = codes[:, : width - a - b], codes[:, a : width - b], codes[:, a + b :]
-            index.append((x << 10) | (y << 5) | z)
-            weight.append(np.where((x > 0) & (z > 0), LAMBDA ** (a + b + 1), 0.0).astype(np.float32))
-    index, weight = np.concatenate(index, 1), np.concatenate(weight, 1)
-    order = np.argsort(index, 1)
-    index, weight = np.take_along_axis(index, order, 1), np.take_along_axis(weight, order, 1)
-    total = np.cumsum(weight, 1, dtype=np.float64)
-    last = np.ones(index.shape, bool)
-    last[:, :-1] = index[:, 1:] != index[:, :-1]
-    # a feature's weight is the sum over its occurrences: differences of the running sum at each run's end
-    at_end = np.where(last, total, 0.0)
-    before = np.concatenate([np.zeros((n, 1)), np.maximum.accumulate(at_end, 1)[:, :-1]], 1)
-    summed = np.where(last, total - before, 0.0)
-    norm = np.sqrt((summed**2).sum(1, keepdims=True))
-    return index, (summed / np.maximum(norm, 1e-9)).astype(np.float32)
+            z = codes[:, a + b :]
+            index.append((codes[:, : width - a - b] << 10) | (codes[:, a : width - b] << 5) | z)
+            weight.append(np.where(z > 0, np.float32(LAMBDA ** (a + b + 1)), np.float32(0)))
+    return np.concatenate(index, 1), np.concatenate(weight, 1) / NORM[(codes > 0).sum(1)][:, None]
 
 
 @dataclass
@@ -138,8 +129,8 @@ class Machine:
 
     def units(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), -np.inf)
-        for at in range(0, len(units), 20_000):
-            codes, owner = encode(units[at : at + 20_000])
+        for at in range(0, len(units), 4000):
+            codes, owner = encode(units[at : at + 4000])
             index, weight = features(codes)
             np.maximum.at(out, owner + at, (self.weights[index] * weight).sum(1) + self.bias)
         return out
@@ -153,9 +144,9 @@ NO_UNIT = -3.0
 
 def summary(decisions: list[float]) -> list[float]:
     """The three highest decisions, and logarithms of how many are above 0 and of how many there are."""
-    top = sorted(decisions, reverse=True)[:3] if len(decisions) < 64 else heapq.nlargest(3, decisions)
-    top = [max(x, NO_UNIT) for x in top] + [NO_UNIT] * (3 - len(top))
-    return [*top, math.log1p(sum([x > 0 for x in decisions])), math.log1p(len(decisions))]
+    decisions.sort()
+    top = [max(x, NO_UNIT) for x in decisions[:-4:-1]]
+    return [*top, *[NO_UNIT] * (3 - len(top)), math.log1p(len(decisions) - bisect(decisions, 0.0)), math.log1p(len(decisions))]
 
 
 class Scorer:
@@ -165,8 +156,12 @@ class Scorer:
         self.machine, self.cache = machine, {}
 
     def summaries(self, texts: list[str | None]) -> np.ndarray:
+        out = [self._portion(texts[at : at + PORTION]) for at in range(0, len(texts), PORTION)]
+        return np.concatenate(out) if out else np.zeros((0, 5))
+
+    def _portion(self, texts: list[str | None]) -> np.ndarray:
         bags = [tokens_of(t) for t in texts]
-        missing = [t for t in set().union(*bags) if t not in self.cache] if bags else []
+        missing = [t for t in set().union(*bags) if t not in self.cache]
         if len(self.cache) + len(missing) > CACHE_UNITS:
             self.cache.clear()
             missing = list(set().union(*bags))
@@ -182,9 +177,8 @@ def dense(units: list[str]) -> np.ndarray:
     """Explicit features of short units (one window each)."""
     codes, owner = encode([u[: WINDOW - 2] for u in units])
     index, weight = features(codes)
-    out = np.zeros((len(units), 1 << 15), np.float32)
-    np.add.at(out, (np.repeat(owner, index.shape[1]), index.ravel()), weight.ravel())
-    return out
+    flat = np.bincount((owner[:, None] * (1 << 15) + index).ravel(), weight.ravel(), len(units) << 15)
+    return flat.reshape(len(units), 1 << 15).astype(np.float32)
 
 
 def inserted(unit: str) -> list[str]:
@@ -209,11 +203,12 @@ def fit(positive: dict[str, float], negative: dict[str, float], landmarks: int,
     weight /= np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum() or 1.0)
     top = sorted(positive, key=lambda u: (-positive[u], u))[: landmarks // 2] + sorted(negative, key=lambda u: (-negative[u], u))[: landmarks // 2]
     marks = dense(list(dict.fromkeys(top)))
+    used = np.flatnonzero(marks.any(0))
     kernel = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     keep = values > 1e-6 * values.max()
     whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float64)
-    x = np.concatenate([dense(units[at : at + 1000]) @ marks.T for at in range(0, len(units), 1000)]).astype(np.float64) @ whiten
+    x = np.concatenate([dense(units[at : at + 200])[:, used] @ marks[:, used].T for at in range(0, len(units), 200)]).astype(np.float64) @ whiten
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     ridge = 1e-4
