@@ -61,16 +61,16 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int32)
+        held, n = [], 0
         for batch in batches:
-            held, n = [], 0
             for s in shingle_sets(batch.column(0), size):
                 held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 n += len(s)
                 if n > 1 << 19:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
                     held, n = [], 0
-            if n:
-                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
         if total.any():
             low = np.minimum(total, 255).astype(np.uint8).reshape(PARTS, wide)
             salt = TaskContext.get().partitionId() // 16
