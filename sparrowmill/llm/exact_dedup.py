@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.scratch import Scratch
+from sparrowmill.llm.scratch import Scratch, small_side
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,7 +90,7 @@ def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     repeated = told.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
     marked = docs.withColumn("__digest", F.sha2(normalised(F.col("text")), 256))
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__digest") == F.col("text_sha256"))
-    stay = marked.join(gone, same, "left_anti")
+    stay = marked.join(small_side(gone, gone.count()), same, "left_anti")
     return (stay.dropDuplicates(["doc_id", "__digest"]) if repeated else stay).select(*docs.columns)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.scratch import Scratch
+from sparrowmill.llm.scratch import Scratch, small_side
 from sparrowmill.llm.shingles import MIX, mixed, shingle_sets
 
 SKETCH_BITS, PARTS = 22, 64
@@ -259,4 +259,4 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     gone = scratch.keep(joined(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

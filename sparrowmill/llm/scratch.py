@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,12 @@ class Scratch:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of ids or digests (some 50 bytes each) up to which a side is broadcast; beyond, it is joined by sort and merge.
+BROADCAST_ROWS = 250_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
