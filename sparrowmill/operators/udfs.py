@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowmill.functions import kernels
 
-METRICS = "bleu double, rouge1 double, rouge2 double, rougel double"
-TREE = "ea double, precision double, recall double, f1 double, text double, idx double"
-DIFF = "added int, modified int, unchanged int, deleted int"
+def fields(names: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, kind) for n in names.split()])
+
+
+METRICS = fields("bleu rouge1 rouge2 rougel", T.DoubleType())
+TREE = fields("ea precision recall f1 text idx", T.DoubleType())
+DIFF = fields("added modified unchanged deleted", T.IntegerType())
 
 
 @F.pandas_udf(METRICS)
@@ -28,6 +33,6 @@ def tree_diff(current: pd.Series, following: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.tree_diff(c, f) for c, f in zip(current, following, strict=True)], columns=["added", "modified", "unchanged", "deleted"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def element_lines(markup: pd.Series) -> pd.Series:
     return markup.map(kernels.element_lines)
