@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 96
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: fixed values: the code points with the White_Space property
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = 1 << 60
@@ -193,5 +193,7 @@ def encoded(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
             if texts:
                 columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * texts)
+        bpe.cache.clear()  # workers outlive their tasks
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)

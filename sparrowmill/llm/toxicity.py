@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from sparrowmill.llm.scratch import Scratch
 
 LAMBDA, MAX_SPAN, WINDOW = 0.6, 6, 30
-CACHE_UNITS, PORTION = 400_000, 1000
+CACHE_UNITS, PORTION = 200_000, 500
 RUN = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 #: fixed values: signs written for letters
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -313,6 +313,7 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
             texts = batch.column(1).to_pylist()
             score = now.score(scorer.summaries(texts)) if now else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
 
@@ -340,5 +341,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep = now.score(scorer.summaries(batch.column(batch.schema.get_field_index("text")).to_pylist())) < 0.5
                 batch = batch.filter(pa.array(keep))
             yield batch
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return docs.mapInArrow(run, docs.schema)
