@@ -1,6 +1,6 @@
 """All queries over the reference's operators."""
 
-from sparrowmill.plans import computed, flagship, parsing, relational  # noqa: F401
+from sparrowmill.plans import computed, flagship, ledgers, parsing, relational  # noqa: F401
 from sparrowmill.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = flagship.FLAGSHIP
