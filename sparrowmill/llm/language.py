@@ -36,10 +36,15 @@ LOWER[65:91] += 32
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
-    """(doc_id, lang) of the rows to learn from; Spark limits each window's rows before they are shuffled."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang")
-    return known.withColumn("k", F.row_number().over(by)).where(f"k <= {per_language}").select("doc_id", "lang").distinct()
+    """(doc_id, lang) of the rows to learn from: of each language those with the smallest hash of the id.
+
+    Each of 64 parts of a language is cut first, so the task that orders a language gets 64 * ``per_language`` rows at most.
+    """
+    known = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(64)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        by = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        known = known.withColumn("k", F.row_number().over(by)).where(f"k <= {per_language}").drop("k")
+    return known.select("doc_id", "lang").distinct()
 
 
 def codes(column: pa.Array, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
