@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INDEX_LIMIT, PLACE_LIMIT = 1.5, 1.7
+CELLS = 4_000_000
 
 
 def text_sim(a: str, b: str) -> float:
@@ -64,19 +66,20 @@ def rouge_l(hypothesis: str, reference: str) -> float:
     return 2 * n / (len(h) + len(r)) if n else 0.0
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least total cost of a square matrix (shortest augmenting paths)."""
-    n = len(cost)
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    owner = np.full(n + 1, n)  # row of each column; column n is the root
+def assign(cost: np.ndarray | Callable[[int], np.ndarray], shape: tuple[int, int] | None = None) -> np.ndarray:
+    """Column of each row in an assignment of least total cost (shortest augmenting paths), with no more rows than columns; a function gives a row's costs when asked."""
+    n, m = shape or cost.shape
+    costs = cost if callable(cost) else cost.__getitem__
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    owner = np.full(m + 1, n)  # row of each column; column m is the root
     for i in range(n):
-        owner[n], col = i, n
-        least, back, done = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
-        while owner[col] != n or col == n:
+        owner[m], col = i, m
+        least, back, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while owner[col] != n or col == m:
             done[col] = True
             row = owner[col]
-            free = ~done[:n]
-            slack = cost[row] - u[row] - v[:n]
+            free = ~done[:m]
+            slack = costs(row) - u[row] - v[:m]
             better = free & (slack < least)
             least[better], back[better] = slack[better], col
             nxt = int(np.argmin(np.where(free, least, np.inf)))
@@ -88,11 +91,12 @@ def assign(cost: np.ndarray) -> np.ndarray:
             col = nxt
             if owner[col] == n:
                 break
-        while col != n:
+        while col != m:
             owner[col] = owner[back[col]]
             col = int(back[col])
     out = np.empty(n, int)
-    out[owner[:n]] = np.arange(n)
+    taken = np.flatnonzero(owner[:m] < n)
+    out[owner[taken]] = taken
     return out
 
 
@@ -146,27 +150,73 @@ def centre(bounds: str) -> tuple[float, float] | None:
     return ((int(p[0][0]) + int(p[1][0])) / 2, (int(p[0][1]) + int(p[1][1])) / 2) if len(p) >= 2 else None
 
 
+class _Costs:
+    """Costs of pairing elements of one tag, a row for each of ``rows``; the whole matrix is laid out up to CELLS, larger ones a row at a time."""
+
+    def __init__(self, rows: list[dict], columns: list[dict], far: int, by_place: bool):
+        words = [[set(e["text"].lower().replace("|", "").split()) for e in side] for side in (rows, columns)]
+        self.places: dict[str, list[int]] | None = None
+        if len(rows) > 1:
+            self.places = {x: [] for w in words[0] for x in w}
+            for j, w in enumerate(words[1]):
+                for x in w:
+                    if x in self.places:
+                        self.places[x].append(j)
+        self.theirs = words[1]
+        self.words, self.sizes = words[0], np.array([len(w) for w in words[1]])
+        self.filled, self.has = [bool(e["text"]) for e in rows], np.array([bool(e["text"]) for e in columns])
+        self.by_place, self.far = by_place, far
+        self.index = [np.array([e["index"] for e in side]) for side in (rows, columns)]
+        if by_place:
+            self.at = [np.array([centre(e["bounds"]) or (np.nan, np.nan) for e in side]) for side in (rows, columns)]
+        self.shape = len(rows), len(columns)
+        self.laid = np.stack([self.row(i) for i in range(len(rows))]) if len(rows) * len(columns) <= CELLS else None
+
+    def row(self, i: int) -> np.ndarray:
+        if self.places is None:
+            both = np.array([len(self.words[i] & w) for w in self.theirs])
+        else:
+            both = np.bincount(np.array([j for x in self.words[i] for j in self.places[x]], int), minlength=self.shape[1])
+        union = len(self.words[i]) + self.sizes - both
+        same = np.where(union > 0, both / np.maximum(union, 1), self.has == self.filled[i])
+        c = 1.5 * (1 - same)
+        if self.by_place:
+            away = np.hypot(*(self.at[0][i] - self.at[1]).T)
+            c += 0.4 * np.where(np.isnan(away), 1.0, np.minimum(away / 2050, 1))
+        else:
+            c += 0.2 * np.abs(self.index[0][i] - self.index[1]) / self.far
+        return np.round(c, 5)
+
+    def __call__(self, i: int) -> np.ndarray:
+        return self.row(i) if self.laid is None else self.laid[i]
+
+
 def match(pred: list[dict], truth: list[dict], by_place: bool = False) -> list[tuple[int, int, float]]:
-    """Pairs (pred, truth, cost) of the assignment of least cost that stay under the limit."""
-    n, m = len(pred), len(truth)
-    if not n or not m:
+    """Pairs (pred, truth, cost) of the assignment of least cost that stay under the limit.
+
+    Elements of different tags cost more than any two of one tag and always the same, as do those that are left over, so
+    each tag's elements are assigned by themselves.
+    """
+    if not pred or not truth:
         return []
     limit = PLACE_LIMIT if by_place else INDEX_LIMIT
     far = max([e["index"] for e in pred + truth if e["index"] >= 0], default=1) or 1
-    cost = np.full((max(n, m),) * 2, 2 * limit)
-    for i, a in enumerate(pred):
-        for j, b in enumerate(truth):
-            if a["tag"] != b["tag"]:
-                cost[i, j] = 3.0
-                continue
-            c = 1.5 * (1 - text_sim(a["text"], b["text"]))
-            if by_place:
-                p, q = centre(a["bounds"]), centre(b["bounds"])
-                c += 0.4 * min(math.dist(p, q) / 2050, 1) if p and q else 0.4
-            else:
-                c += 0.2 * abs(a["index"] - b["index"]) / far
-            cost[i, j] = round(c, 5)
-    return [(i, int(j), float(cost[i, j])) for i, j in enumerate(assign(cost)) if i < n and j < m and cost[i, j] < limit]
+    tags: dict[str, tuple[list[int], list[int]]] = {}
+    for side, found in enumerate((pred, truth)):
+        for k, e in enumerate(found):
+            tags.setdefault(e["tag"], ([], []))[side].append(k)
+    pairs = []
+    for mine, theirs in tags.values():
+        if not mine or not theirs:
+            continue
+        turned = len(mine) > len(theirs)
+        sides = [pred[k] for k in mine], [truth[k] for k in theirs]
+        cost = _Costs(*(sides[::-1] if turned else sides), far, by_place)
+        for i, j in enumerate(assign(cost, cost.shape) if cost.shape[0] > 1 else [np.argmin(cost(0))]):
+            c = float(cost(i)[j])
+            if c < limit:
+                pairs.append((mine[int(j)], theirs[i], c) if turned else (mine[i], theirs[int(j)], c))
+    return sorted(pairs)
 
 
 def tree_score(pred: str | None, truth: str | None) -> dict[str, float]:

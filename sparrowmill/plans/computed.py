@@ -82,9 +82,9 @@ def met02(t):
 
 
 def page_pairs(t):
-    small = t["pages"].where(F.length("html") < 4000)
-    later = small.select((F.col("page_id") - 1).alias("page_id"), F.col("html").alias("following"))
-    return small.join(later, "page_id")
+    """Each page with the page of the next page_id."""
+    later = t["pages"].select((F.col("page_id") - 1).alias("page_id"), F.col("html").alias("following"))
+    return t["pages"].join(later, "page_id")
 
 
 @query("met01_tree_score")

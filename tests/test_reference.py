@@ -67,6 +67,41 @@ def test_tree_diff():
     assert kernels.tree_diff(a, a)["unchanged"] == 3 and kernels.tree_diff(a, b)["added"] == 2  # words without overlap cost just the limit, which no pair keeps
 
 
+@pytest.mark.parametrize("name", ["met01_tree_score", "diff02_tree_diff"])
+def test_pages_of_any_length_are_paired(spark, tmp_path, name):
+    long = "<ul>" + "".join(f"<li>item {k} of the list</li>" for k in range(300)) + "</ul>"
+    rows = [(1, "u", long), (2, "u", long), (3, "u", None), (4, "u", "<p>x</p>"), (6, "u", "<p>x</p>")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3]
+    if name.startswith("met01"):
+        assert got[1].f1 == 1 and got[2].f1 == 0 and got[3].f1 == 0
+    else:
+        assert got[1].unchanged == 301 and got[2].deleted == 301 and got[3].added == 1
+
+
+def test_match_costs_least_by_tag(monkeypatch):
+    rng = np.random.default_rng(4)
+    side = lambda n: [{"tag": "ab"[rng.integers(2)], "text": " ".join(rng.choice(list("uvwx|"), rng.integers(0, 4))), "index": k, "bounds": f"[{k},0][{k + 9},{rng.integers(9)}]" if k % 3 else "", "depth": 0} for k in range(n)]
+    for _ in range(30):
+        p, t = side(rng.integers(1, 6)), side(rng.integers(1, 6))
+        for by_place, limit in ((False, 1.5), (True, 1.7)):
+            far, n = max(1, len(p) - 1, len(t) - 1), max(len(p), len(t))
+            cost = np.full((n, n), 2 * limit)
+            for (i, a), (j, b) in itertools.product(enumerate(p), enumerate(t)):
+                x, y = kernels.centre(a["bounds"]), kernels.centre(b["bounds"])
+                away = (0.4 * min(np.hypot(x[0] - y[0], x[1] - y[1]) / 2050, 1) if x and y else 0.4) if by_place else 0.2 * abs(i - j) / far
+                cost[i, j] = round(1.5 * (1 - kernels.text_sim(a["text"], b["text"])) + away, 5) if a["tag"] == b["tag"] else 3.0
+            least = min(sum(cost[i, c[i]] for i in range(n)) for c in itertools.permutations(range(n)))
+            monkeypatch.setattr(kernels, "CELLS", int(rng.integers(2)) * 4_000_000)
+            pairs = kernels.match(p, t, by_place)
+            assert all(c == pytest.approx(cost[i, j]) and c < limit for i, j, c in pairs)
+            spare = [(i, j) for i in range(n) for j in range(n) if i not in {x for x, _, _ in pairs} and j not in {y for _, y, _ in pairs}]
+            rest = sorted({i for i, _ in spare}), sorted({j for _, j in spare})
+            left = min(sum(cost[i, j] for i, j in zip(rest[0], c)) for c in itertools.permutations(rest[1]))
+            assert sum(c for _, _, c in pairs) + left == pytest.approx(least)
+
+
 def field(number, kind, body):
     return bytes([number << 3 | kind]) + (bytes([len(body)]) + body if kind == 2 else body)
 
