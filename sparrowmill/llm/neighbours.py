@@ -1,16 +1,18 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph in iterative joins, queries search it greedily.
 
 Equal vectors share one node that keeps the smallest few of their ids, as many as a result can hold. Nodes carry their
-vector as 8-bit codes, and the graph is built on those; results are scored on the original vectors in double precision.
+unit vector as 32-bit floats; a similarity is minus the squared length of the difference, which near copies keep to full
+precision where a product of the vectors is 1 for all. Results are scored on the original vectors in double precision.
 
 The graph starts from a few random-hyperplane partitions: within a cell (split where it is large) each node takes its
 nearest. Each round of NN-descent then joins every node's neighbours and reverse neighbours (a bounded number of either)
-with their codes, compares those of which at least one is new, and offers every pair's ends to each other's lists if
+with their vectors, compares those of which at least one is new, and offers every pair's ends to each other's lists if
 they beat the last entry there. Rounds stop when few lists change. Each node's row in the final graph holds its
-neighbours' codes, bucketed by node, so a search step moves queries to the graph and never the graph.
+neighbours' vectors, bucketed by node, so a search step moves queries to the graph and never the graph.
 
 A query starts from its own node's neighbours. In each step the best unexpanded nodes of its pool of ``pool`` candidates
-are expanded, until no pool changes or ``steps`` are done; the best ``rerank`` of a pool are scored exactly.
+are expanded, until no pool changes or ``steps`` are done; the best of a pool are scored exactly, and all others that the
+rounding of 32-bit floats could have put behind them.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take no
 part; ties go to the smaller vec_id; with fewer candidates than asked for, all are returned; rows that repeat a vec_id and
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from sparrowmill.llm.scratch import Scratch
 
 K, CELL, TREES, ROUNDS, POOL, STEPS = 32, 384, 6, 6, 192, 5
-EMPTY = -2.0
+EMPTY = -9.0
+ROUNDING = 1e-6  # bound of the error in the length of a difference of two unit vectors of 32-bit floats
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
@@ -64,16 +67,31 @@ def runs(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
 
 
 def codes_of(column: pa.Array) -> np.ndarray:
-    """Unit vectors, as 32-bit floats, from a column of 8-bit codes."""
-    n = len(column)
-    raw = b"".join(column.to_pylist())
-    x = np.frombuffer(raw, np.int8).reshape(n, -1).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Unit vectors from a column of their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
 def coded(v: np.ndarray) -> list[bytes]:
-    x = np.rint(v * (127 / np.abs(v).max(1, keepdims=True))).astype(np.int8)
-    return [r.tobytes() for r in x]
+    v = v / np.abs(v).max(1, keepdims=True)
+    return [r.tobytes() for r in (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)]
+
+
+def similar(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Minus the squared length of x[i] - x[j], by portions."""
+    out = np.empty(len(i), np.float32)
+    for at in range(0, len(i), 65_536):
+        d = x[i[at : at + 65_536]] - x[j[at : at + 65_536]]
+        out[at : at + 65_536] = -np.einsum("ij,ij->i", d, d)
+    return out
+
+
+def roughly(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """All similarities by one product, and a bound of their error."""
+    x = x - x.mean(0)
+    n = np.einsum("ij,ij->i", x, x)
+    s = 2 * (x @ x.T) - n[:, None] - n[None, :]
+    np.fill_diagonal(s, EMPTY)
+    return s, 1e-5 * float(n.max())
 
 
 def best_of(key: np.ndarray, to: np.ndarray, sim: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -145,7 +163,7 @@ class Index:
         placed = self.nodes.select("id", "code").mapInArrow(cells, "cell bigint, id bigint, code binary")
         placed = self.scratch.keep(placed, "cells")
         sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / (4 * CELL)).alias("parts"))
-        part = F.xxhash64("cell", F.pmod(F.xxhash64("id"), "parts"))
+        part = F.xxhash64("cell", F.pmod(F.xxhash64("cell", "id"), "parts"))  # another split in each tree: parts that never meet stay apart in the graph
         split = placed.join(sizes, "cell").select(part.alias("part"), "id", "code").repartition("part").sortWithinPartitions("part")
 
         def near(batches):
@@ -155,10 +173,9 @@ class Index:
                 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                     m = min(k, hi - lo - 1)
                     if m > 0:
-                        s = x[lo:hi] @ x[lo:hi].T
-                        np.fill_diagonal(s, EMPTY)
-                        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                        yield edges(np.repeat(ids[lo:hi], m), ids[lo:hi][top].ravel(), np.take_along_axis(s, top, 1).ravel(), np.ones((hi - lo) * m, bool))
+                        top = np.argpartition(-roughly(x[lo:hi])[0], m - 1, axis=1)[:, :m].ravel()
+                        own = np.repeat(np.arange(hi - lo), m)
+                        yield edges(ids[lo:hi][own], ids[lo:hi][top], similar(x[lo:hi], own, top), np.ones((hi - lo) * m, bool))
 
         return self.scratch.keep(merged(split.mapInArrow(near, EDGE), k), "graph")
 
@@ -183,11 +200,12 @@ class Index:
                         fresh = new[lo:hi]
                         if not fresh.any():
                             continue
-                        s = x[lo:hi] @ x[lo:hi].T
-                        np.fill_diagonal(s, EMPTY)
-                        i, j = np.nonzero((s > bar[lo:hi, None]) & (fresh[:, None] | fresh[None, :]))
-                        held.append((ids[lo:hi][i], ids[lo:hi][j], s[i, j]))
-                        count += len(i)
+                        s, error = roughly(x[lo:hi])
+                        i, j = np.nonzero((s + error > bar[lo:hi, None]) & (fresh[:, None] | fresh[None, :]) & ~np.eye(hi - lo, dtype=bool))
+                        s = similar(x[lo:hi], i, j)
+                        better = s > bar[lo:hi][i]
+                        held.append((ids[lo:hi][i[better]], ids[lo:hi][j[better]], s[better]))
+                        count += int(better.sum())
                         if count > 400_000:
                             yield offers(held)
                             held, count = [], 0
@@ -208,7 +226,7 @@ class Index:
         return graph
 
     def packed(self) -> DataFrame:
-        """The graph as a table bucketed by node: id, neighbours and their codes."""
+        """The graph as a table bucketed by node: id, neighbours and their vectors."""
         table = f"neighbours_{uuid.uuid4().hex[:12]}"
         codes = self.nodes.select(F.col("id").alias("nbr"), "code")
         both = self.graph.select("id", "nbr").unionByName(self.graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).where(F.pmod(F.xxhash64("id", "nbr"), F.lit(4)) == 0)).distinct()
@@ -222,7 +240,7 @@ class Index:
         graph = self.packed()
         state = "query bigint, node bigint, sim float, open boolean"
         first = queries.select("query_id", "node").join(self.graph.select(F.col("id").alias("node"), "nbr", "sim"), "node")
-        home = queries.select(F.col("query_id").alias("query"), "node", F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("open"))
+        home = queries.select(F.col("query_id").alias("query"), "node", F.lit(0.0).cast("float").alias("sim"), F.lit(False).alias("open"))
         pools = self.scratch.keep(home.unionByName(first.select(F.col("query_id").alias("query"), F.col("nbr").alias("node"), "sim", F.lit(True).alias("open"))), "pools")
         asked = self.scratch.keep(queries.join(self.nodes.select(F.col("id").alias("node"), "code"), "node").select(F.col("query_id").alias("query"), "code"), "queries")
         for _ in range(steps):
@@ -238,7 +256,7 @@ class Index:
                     sizes = np.diff(np.asarray(nbrs.offsets))
                     x, q = codes_of(b.column(4).flatten()), codes_of(b.column(2))
                     owner = np.repeat(np.arange(len(b)), sizes)
-                    sim = np.einsum("ij,ij->i", x, q[owner])
+                    sim = np.concatenate([-np.square(x[at : at + 65_536] - q[owner[at : at + 65_536]]).sum(1) for at in range(0, len(x), 65_536)])
                     query, ids = b.column(0).to_numpy()[owner], np.asarray(nbrs.flatten())
                     keep = sim > b.column(1).to_numpy()[owner]
                     key, to, s, _ = best_of(query[keep], ids[keep], sim[keep], np.ones(keep.sum(), bool), pool)
@@ -259,7 +277,10 @@ class Index:
     def _ranked(self, queries: DataFrame, pools: DataFrame, top: int) -> DataFrame:
         """Exact scores of each pool's best, members told apart, the ``top`` best of each query."""
         rank = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-        best = pools.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= 4 * top + 4).select(F.col("query").alias("query_id"), F.col("node").alias("found"))
+        away = F.sqrt(-F.col("sim"))
+        near = F.max(F.when(F.col("n") <= top + 1, away)).over(Window.partitionBy("query")) + 2 * ROUNDING
+        placed = pools.withColumn("n", F.row_number().over(rank)).withColumn("near", near)
+        best = placed.where((F.col("n") <= 4 * top + 4) | (away <= F.col("near"))).select(F.col("query").alias("query_id"), F.col("node").alias("found"))
         vectors = self.nodes.select("id", "v", "members")
         both = best.join(queries.select("query_id", "node"), "query_id").join(vectors.select(F.col("id").alias("node"), F.col("v").alias("q")), "node").join(vectors.withColumnRenamed("id", "found"), "found")
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

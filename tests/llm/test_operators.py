@@ -173,6 +173,23 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-2, 3e-4])
+def test_neighbours_recall_among_near_copies(spark, noise):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal(32) + noise * rng.standard_normal((3000, 32)), rng.standard_normal((500, 32))]).astype(np.float32)
+    table = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(table, every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 100):
+        away = ((unit - unit[q]) ** 2).sum(1)
+        away[q] = 9
+        hit += len({*np.argsort(away)[:5].tolist()} & got[q])
+    assert hit >= 0.9 * 5 * 30
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
