@@ -2,7 +2,7 @@
 
 Lines are word sequences (white space apart, A-Z read as a-z); two lines are near when one word put in, taken out or
 replaced makes them equal. Lines are ordered by (doc_id, number in the document), and a line goes when an equal or near
-line stands before it; lines of fewer than ``MIN_WORDS`` words always stay.
+line stands before it; lines of fewer than ``MIN_WORDS`` words go only for an equal one.
 
 Equal lines are grouped by hash first. A sieve then spares most lines the neighbourhood: of two near lines of m and m or
 m + 1 words, the first or the last m // 2 words agree, so only lines that share such a half with another distinct line go
@@ -95,17 +95,22 @@ def place(doc_id: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, number, slot, h, halves) of each line of at least MIN_WORDS words."""
+    """(doc_id, number, slot, h, halves) of each line that isn't blank; halves are null for fewer than MIN_WORDS words."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for x in lines_of(batch.column(1)):
-                keep = np.flatnonzero(x.words >= MIN_WORDS)
-                if len(keep):
+                own, halves_of = x.own(), x.halves()
+                for long in (True, False):
+                    keep = np.flatnonzero((x.words > 0) & ((x.words >= MIN_WORDS) == long))
+                    if not len(keep):
+                        continue
                     doc, number = ids[x.row[keep]], x.number[keep]
-                    halves = pa.FixedSizeListArray.from_arrays(pa.array(x.halves()[keep].ravel(), pa.int64()), 4).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(place(doc, number), pa.int64()), pa.array(x.own()[keep], pa.int64()), halves], ["doc_id", "number", "slot", "h", "halves"])
+                    halves = pa.nulls(len(keep), pa.list_(pa.int64()))
+                    if long:
+                        halves = pa.FixedSizeListArray.from_arrays(pa.array(halves_of[keep].ravel(), pa.int64()), 4).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(place(doc, number), pa.int64()), pa.array(own[keep], pa.int64()), halves], ["doc_id", "number", "slot", "h", "halves"])
 
     return docs.mapInArrow(run, "doc_id bigint, number int, slot bigint, h bigint, halves array<bigint>")
 

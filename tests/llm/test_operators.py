@@ -115,6 +115,12 @@ def test_line_dedup(odd, spark):
     assert line_dedup.told(odd).count() == odd.count() and line_dedup.told(odd.where("false")).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Les.\na b c d\n\nhttps://example.org/one"), (2, "les.\na b c e\n\nhttps://example.org/one\n一二三四五六七八九十"), (3, " \na b  c d\n一二三四五六七八九十")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.number) for r in line_dedup.dropped(docs).collect()} == {(2, 0), (2, 3), (3, 1), (3, 2)}
+
+
 def test_mixing_budgets(odd, spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mixed(docs).collect()
