@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,38 +29,67 @@ def hop_distances(edges: DataFrame, start: str, limit: int = 50) -> DataFrame:
     return reached
 
 
+def by_session(rows: DataFrame, order: list[str], start: Callable[[], Callable[..., int | None]], schema: str) -> DataFrame:
+    """(session, seq, value) of the rows for which a session's step gives a value, read as a stream in order: only the state of one session is held."""
+
+    def run(batches):
+        at, step = object(), None
+        for batch in batches:
+            sessions, others = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[2:]]
+            keep, values = [], []
+            for k, (session, *row) in enumerate(zip(sessions, *others, strict=True)):
+                if step is None or session != at:
+                    at, step = session, start()
+                value = step(*row)
+                if value is not None:
+                    keep.append(k)
+                    values.append(value)
+            took = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(values, pa.int32())], ["session", "seq", "value"])
+
+    rows = rows.withColumns({c: F.col(c).cast("bigint") for c in ("session", "seq")})
+    sorted_rows = rows.repartition("session").sortWithinPartitions("session", *(F.col(c).asc_nulls_last() for c in order))
+    return sorted_rows.mapInArrow(run, schema)
+
+
 def matched_pages(lines: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Greedy page identity per session: the first page whose lines are similar enough, else a new one (session, seq, lines)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def start():
         pages: list[frozenset] = []
-        out = []
-        for row in frame.sort_values("seq").itertuples(index=False):
-            own = frozenset(row.lines)
-            for k, other in enumerate(pages):
-                if (len(own & other) / len(own | other) if own | other else 1.0) >= threshold:
-                    break
-            else:
-                k = len(pages)
-                pages.append(own)
-            out.append((row.session, row.seq, k))
-        return pd.DataFrame(out, columns=["session", "seq", "page_key"])
+        known: dict[frozenset, int] = {}  # equal lines meet the same page again
+
+        def step(found):
+            own = frozenset(found)
+            if own not in known:
+                for k, other in enumerate(pages):
+                    if (len(own & other) / len(own | other) if own | other else 1.0) >= threshold:
+                        break
+                else:
+                    k = len(pages)
+                    pages.append(own)
+                known[own] = k
+            return known[own]
 
-    return lines.groupBy("session").applyInPandas(run, "session bigint, seq bigint, page_key int")
+        return step
+
+    return by_session(lines.select("session", "seq", "lines"), ["seq"], start, "session bigint, seq bigint, value int").withColumnRenamed("value", "page_key")
 
 
 def either_signature_once(rows: DataFrame) -> DataFrame:
-    """Rows (session, seq, a, b) kept unless either signature was seen on an earlier kept row of the session."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, keep = set(), set(), []
-        frame = frame.sort_values("seq")
-        for a, b in zip(frame["a"], frame["b"], strict=True):
-            ok = a not in seen_a and b not in seen_b
-            keep.append(ok)
-            if ok:
-                seen_a.add(a)
-                seen_b.add(b)
-        return frame[keep][["session", "seq"]]
-
-    return rows.groupBy("session").applyInPandas(run, "session bigint, seq bigint")
+    """Rows (session, seq, a, b) kept unless either signature was seen on an earlier kept row of the session; only the first row of each (session, a, b) can be."""
+
+    def start():
+        seen_a, seen_b = set(), set()
+
+        def step(a, b):
+            if a in seen_a or b in seen_b:
+                return None
+            seen_a.add(a)
+            seen_b.add(b)
+            return 1
+
+        return step
+
+    firsts = rows.groupBy("session", "a", "b").agg(F.min("seq").alias("seq")).select("session", "seq", "a", "b")
+    return by_session(firsts, ["seq", "a", "b"], start, "session bigint, seq bigint, value int").drop("value")
