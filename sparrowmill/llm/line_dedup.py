@@ -6,13 +6,16 @@ line stands before it; lines of fewer than ``MIN_WORDS`` words go only for an eq
 
 Equal lines are grouped by hash first. A sieve then spares most lines the neighbourhood: of two near lines of m and m or
 m + 1 words, the first or the last m // 2 words agree, so only lines that share such a half with another distinct line go
-on. They emit their variants with one word deleted as hashed keys. Lines with the same variant and deleted place are all
-near to each other, and a line that equals a variant is near to the line it came from, so the earliest of each group is
-a minimum and no pairs are ever listed. Each line's earliest neighbour is verified on the words themselves.
-
-Only hashes are shuffled, and the text of lines that passed the sieve, one copy each. Defined cases: null texts have no
-lines and stay null; blank lines stay; rows without doc_id pass unchanged and are compared with nothing; rows that share a
-doc_id are one document and are cut alike; very long lines and texts are read whole; an empty table gives no rows.
+on. Their first occurrences are found again through a bit filter sized by their count, or beyond ``FILTER_LINES`` of them by
+a join with their documents; what a filter lets through besides costs work and changes nothing. They emit their variants
+with one word deleted as hashed keys. Lines with the same variant and deleted place are all near to each other, and a line
+that equals a variant is near to the line it came from, so the earliest of each group is a minimum and no pairs are ever
+listed. Each line's earliest neighbour is verified on the words themselves, whose text is joined to the pairs that met.
+
+Only hashes are shuffled, the text of lines with an earlier neighbour, and at the end the texts of documents to cut them.
+Defined cases: null texts have no lines and stay null; blank lines stay; rows without doc_id pass unchanged and are compared
+with nothing; rows that share a doc_id are one document and are cut alike; very long lines and texts are read whole; an
+empty table gives no rows; columns of documents named n_lines or n_dropped give way to the operator's.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from sparrowmill.llm.scratch import Scratch
 from sparrowmill.llm.shingles import MIX, mixed, powers, texts, word_hashes
 
 MIN_WORDS = 5
-BITS = 24
+#: first occurrences up to which a bit filter (64 MB at most) finds them; 16 bits for each
+FILTER_LINES, BITS_PER_LINE = 1 << 25, 16
 
 
 class Lines:
@@ -90,62 +94,75 @@ def lines_of(column: pa.Array) -> Iterator[Lines]:
 
 
 def place(doc_id: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Slot of a line in a bit filter."""
-    return (mixed(doc_id.astype(np.int64).view(np.uint64) * MIX[0] + number.astype(np.uint64)) >> np.uint64(64 - BITS)).view(np.int64)
+    """One 64-bit value for a line's place."""
+    return mixed(doc_id.astype(np.int64).view(np.uint64) * MIX[0] + number.astype(np.uint64)).view(np.int64)
+
+
+HALVES = ("half0", "half1", "half2", "half3")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, number, slot, h, halves) of each line that isn't blank; halves are null for fewer than MIN_WORDS words."""
+    """(doc_id, number, h, halves) of each line that isn't blank; halves are null for fewer than MIN_WORDS words."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for x in lines_of(batch.column(1)):
-                own, halves_of = x.own(), x.halves()
-                for long in (True, False):
-                    keep = np.flatnonzero((x.words > 0) & ((x.words >= MIN_WORDS) == long))
-                    if not len(keep):
-                        continue
-                    doc, number = ids[x.row[keep]], x.number[keep]
-                    halves = pa.nulls(len(keep), pa.list_(pa.int64()))
-                    if long:
-                        halves = pa.FixedSizeListArray.from_arrays(pa.array(halves_of[keep].ravel(), pa.int64()), 4).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(place(doc, number), pa.int64()), pa.array(own[keep], pa.int64()), halves], ["doc_id", "number", "slot", "h", "halves"])
+                keep = np.flatnonzero(x.words > 0)
+                own, halves, short = x.own()[keep], x.halves()[keep], x.words[keep] < MIN_WORDS
+                doc, number = ids[x.row[keep]], x.number[keep]
+                columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(own, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(halves[:, k], pa.int64(), mask=short) for k in range(4)], ["doc_id", "number", "h", *HALVES])
+
+    return docs.mapInArrow(run, "doc_id bigint, number int, h bigint, " + ", ".join(f"{c} bigint" for c in HALVES))
+
+
+class BitFilter:
+    """Bits of the places in a table, as many as its counted rows ask for."""
 
-    return docs.mapInArrow(run, "doc_id bigint, number int, slot bigint, h bigint, halves array<bigint>")
+    def __init__(self, places: DataFrame, count: int):
+        self.shift = 64 - max(12, (BITS_PER_LINE * count - 1).bit_length())
+        slot = F.shiftrightunsigned("place", self.shift)
+        words = places.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (58 - self.shift), np.int64)
+        self.bits[found["word"].to_numpy()] = found["bits"].to_numpy()
 
+    def has(self, places: np.ndarray) -> np.ndarray:
+        slot = (places.view(np.uint64) >> np.uint64(self.shift)).view(np.int64)
+        return (self.bits[slot >> 6] >> (slot & 63)) & 1 == 1
 
-def bit_filter(slots: DataFrame) -> np.ndarray:
-    """A filter of 2^BITS bits from a column ``slot``; 2 MB whatever the corpus."""
-    words = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(1 << (BITS - 5), np.int64)
-    found = words.toPandas()
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return table
 
+def neighbourhood(docs: DataFrame, wanted: BitFilter | None) -> DataFrame:
+    """(v, i, doc_id, number, text): for each wanted line itself (i = -1, with its text) and its variants without word i.
 
-def neighbourhood(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(v, i, doc_id, number, text): for each line in the filter itself (i = -1, with its text) and its variants without word i."""
-    spread = docs.sparkSession.sparkContext.broadcast(table)
+    Wanted are lines in the filter; without one, ``docs`` has a third column with the sorted numbers of a document's.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def hits(batch, x, ids):
+        if spread.value is not None:
+            return spread.value.has(place(ids[x.row], x.number))
+        asked = batch.column(2)
+        cuts, numbers = np.asarray(asked.offsets), asked.values.to_numpy()
+        keys = np.repeat(np.arange(len(batch)), np.diff(cuts)) << 32 | numbers[cuts[0] : cuts[-1]]
+        return np.isin(x.row << 32 | x.number, keys)
 
     def run(batches):
-        bits = spread.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            v, i, doc, number, text = [], [], [], [], []
             for x in lines_of(batch.column(1)):
-                slot = place(ids[x.row], x.number)
-                hit = (bits[slot >> 5] >> (slot & 31)) & 1
+                v, i, doc, number, text = [], [], [], [], []
                 own = x.own()
-                for k in np.flatnonzero((hit == 1) & (x.words >= MIN_WORDS)):
+                for k in np.flatnonzero(hits(batch, x, ids) & (x.words >= MIN_WORDS)):
                     m = int(x.words[k])
                     v += [own[k : k + 1], x.variants(k)]
                     i.append(np.arange(-1, m, dtype=np.int32))
                     doc.append(np.full(m + 1, ids[x.row[k]], np.int64))
                     number.append(np.full(m + 1, x.number[k], np.int32))
                     text += [x.text(k)] + [None] * m
-            if v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (v, i, doc, number)] + [pa.array(text, pa.string())], ["v", "i", "doc_id", "number", "text"])
+                if v:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (v, i, doc, number)] + [pa.array(text, pa.string())], ["v", "i", "doc_id", "number", "text"])
 
     return docs.mapInArrow(run, "v bigint, i int, doc_id bigint, number int, text string")
 
@@ -164,51 +181,72 @@ def low_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def wanted_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """The neighbourhoods of the distinct lines that share a half with another."""
+    halves = F.array_distinct(F.array(*HALVES))
+    keys = distinct.where("half0 IS NOT NULL").select("place", F.explode(halves).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    passed = scratch.keep(keys.join(shared, "key", "left_semi").select("place").distinct(), "passed")
+    count = passed.count()
+    if count <= FILTER_LINES:
+        return neighbourhood(docs, BitFilter(passed, count))
+    numbers = distinct.join(passed, "place", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list("number")).alias("numbers"))  # the lines of one document
+    return neighbourhood(docs.join(numbers, "doc_id").select("doc_id", "text", "numbers"), None)
+
+
 def dropped(docs: DataFrame) -> DataFrame:
     """(doc_id, number) of every line that goes."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines = scratch.keep(hashed(known), "lines")
-    distinct = scratch.keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "number", "slot")).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("k")), "distinct")
-    keys = distinct.select("h", F.col("first.slot").alias("slot"), F.explode(F.array_distinct("halves")).alias("key"))
-    halves = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    passed = scratch.keep(keys.join(halves, "key", "left_semi").select("slot").distinct(), "passed")
-    near_rows = scratch.keep(neighbourhood(known, bit_filter(passed)), "variants")
-    firsts = distinct.select("h", "first.doc_id", "first.number")
-    own = near_rows.where("i = -1").join(firsts, ["doc_id", "number"], "left_semi")
-    rows = near_rows.drop("text").join(firsts.select("doc_id", "number"), ["doc_id", "number"], "left_semi").distinct()
-    rows = scratch.keep(rows, "rows")
     line = F.struct("doc_id", "number")
+    distinct = lines.groupBy("h").agg(F.min(line).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in HALVES))
+    distinct = scratch.keep(distinct.select("h", "first.doc_id", "first.number", "k", *HALVES).mapInArrow(placed, "h bigint, doc_id bigint, number int, k bigint, place bigint, " + ", ".join(f"{c} bigint" for c in HALVES)), "distinct")
+    rows = scratch.keep(wanted_lines(known, distinct, scratch), "variants")
     by_place = rows.groupBy("v", "i").agg(F.min(line).alias("e"), F.count("*").alias("k"))
     by_variant = by_place.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("e"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("e"))).alias("cut"), F.sum("k").alias("k")).where("k > 1")
     best = by_place.join(by_variant.drop("k"), "v").select("v", "i", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.least("e", "whole")).alias("best"))
-    met = rows.join(best, ["v", "i"]).groupBy("doc_id", "number").agg(F.min("best").alias("best"))
-    pairs = met.where(F.col("best") < line).select("doc_id", "number", F.col("best.doc_id").alias("to_doc"), F.col("best.number").alias("to_number"))
-    words = own.select("doc_id", "number", "v", "text").dropDuplicates(["doc_id", "number"])
-    both = pairs.join(words, ["doc_id", "number"]).join(words.select(F.col("doc_id").alias("to_doc"), F.col("number").alias("to_number"), F.col("text").alias("to_text")), ["to_doc", "to_number"])
+    met = rows.select("v", "i", "doc_id", "number").join(best, ["v", "i"]).where(F.col("best") < line)
+    pairs = met.groupBy("doc_id", "number").agg(F.min("best").alias("best")).select("doc_id", "number", F.col("best.doc_id").alias("to_doc"), F.col("best.number").alias("to_number"))
+    pairs = scratch.keep(pairs, "pairs")
+    words = rows.where("i = -1").groupBy("doc_id", "number").agg(F.min(F.struct(F.col("v").alias("h"), "text")).alias("x")).select("doc_id", "number", "x.h", "x.text")
+    theirs = words.select(F.col("doc_id").alias("to_doc"), F.col("number").alias("to_number"), F.col("text").alias("to_text"))
+    both = pairs.join(words, ["doc_id", "number"]).join(theirs, ["to_doc", "to_number"])
 
     def verify(batches):
         for batch in batches:
-            ok = [near(low_words(a), low_words(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["h"])
+            ok = [near(low_words(a), low_words(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch.select(["h", "doc_id", "number"]).filter(pa.array(ok, pa.bool_()))
+
+    told = both.select("h", "doc_id", "number", "text", "to_text").mapInArrow(verify, "h bigint, doc_id bigint, number int").distinct()
+    # a filter may have let later copies through, whose neighbour is their first occurrence: only that one speaks for a line
+    late = told.withColumn("late", F.lit(True))
+    kept = distinct.select("h", "doc_id", "number", "k").join(late, ["h", "doc_id", "number"], "left").where("k > 1 OR late")
+    kept = scratch.keep(kept.select("h", F.col("doc_id").alias("first_doc"), F.col("number").alias("first_number"), "late"), "kept")
+    return lines.select("doc_id", "number", "h").join(kept, "h").where("late OR NOT (doc_id = first_doc AND number = first_number)").select("doc_id", "number").distinct()
+
 
-    late = scratch.keep(both.select("v", "text", "to_text").mapInArrow(verify, "h bigint").distinct().withColumn("late", F.lit(True)), "late")
-    kept = distinct.join(late, "h", "left").where("k > 1 OR late").select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"), "late")
-    return lines.join(kept, "h").where("late OR NOT (doc_id = first_doc AND number = first_number)").select("doc_id", "number").distinct()
+def placed(batches):
+    """Rows with the place of their line put in."""
+    for batch in batches:
+        at = place(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(at, pa.int64()), *batch.columns[4:]], ["h", "doc_id", "number", "k", "place", *HALVES])
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and n_lines and n_dropped (0 for null texts)."""
-    gone = dropped(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("number").alias("__gone"))  # the lines of one document
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    split = F.split("text", "\n")
-    stay = F.expr("filter(__lines, (x, k) -> NOT array_contains(__gone, k))")
-    return (
-        joined.withColumn("__lines", split)
-        .withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)))
-        .withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
-        .select(*docs.columns, F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_dropped")
+    gone = dropped(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_list("number")).alias("gone"))  # the lines of one document
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    split = F.when(F.col("row.text").isNotNull(), F.split("row.text", "\n"))
+    joined = held.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left").select("row", "gone", split.alias("lines"))
+    # what stays are the stretches between the lines that go
+    stay = F.expr("flatten(transform(sequence(0, size(gone)), k -> slice(lines, coalesce(get(gone, k - 1), -1) + 2, coalesce(get(gone, k), size(lines)) - coalesce(get(gone, k - 1), -1) - 1)))")
+    text = F.when(F.col("gone").isNull() | F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(stay, "\n"))
+    return joined.select(
+        *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),
     )
 
 

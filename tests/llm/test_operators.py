@@ -121,6 +121,46 @@ def test_line_dedup_of_short_lines(spark):
     assert {(r.doc_id, r.number) for r in line_dedup.dropped(docs).collect()} == {(2, 0), (2, 3), (3, 1), (3, 2)}
 
 
+def edits(a, b):
+    """Word edits between two lists by the full table."""
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a, 1):
+        last, row[0] = row[0], k
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, filtered):
+    rng = random.Random(9)
+    bases = [[rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12))] for _ in range(60)]
+    lines = []
+    for _ in range(500):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(3)):
+            at, how = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[at : at + (how > 0)] = [rng.choice("abcdefghij")] if how < 2 else []
+        lines.append(" ".join(w).upper() if rng.random() < 0.1 else " ".join(w))
+    lines[40] = lines[90] = "long " * 20_000
+    texts = ["\n".join(lines[at : at + 7]) for at in range(0, 500, 7)]
+    rows = [(k, t, "n", "d") for k, t in enumerate(texts)] + [(None, texts[0], "n", "d"), (3, texts[3], "n", "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines string, gone string")
+    if not filtered:
+        monkeypatch.setattr(line_dedup, "FILTER_LINES", 0)
+    flat = [(d, k, x.lower().split()) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    expected = set()
+    for n, (d, k, w) in enumerate(flat):
+        if w and any(v == w or (min(len(w), len(v)) >= 5 and abs(len(w) - len(v)) < 2 and len(w) < 100 and edits(w, v) < 2) for _, _, v in flat[:n]):
+            expected.add((d, k))
+    assert {(r.doc_id, r.number) for r in line_dedup.dropped(docs).collect()} == expected
+    out = line_dedup.cleaned(docs)
+    assert out.columns == ["doc_id", "text", "gone", "n_lines", "n_dropped"]
+    for r in out.collect():
+        stay = texts[r.doc_id or 0].split("\n") if r.doc_id is None else [x for k, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, k) not in expected]
+        assert r.text == "\n".join(stay)
+
+
 def test_mixing_budgets(odd, spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mixed(docs).collect()
