@@ -31,8 +31,8 @@ from sparrowmill.llm.scratch import Scratch
 from sparrowmill.llm.shingles import MIX, mixed, powers, texts, word_hashes
 
 MIN_WORDS = 5
-#: first occurrences up to which a bit filter (64 MB at most) finds them; 16 bits for each
-FILTER_LINES, BITS_PER_LINE = 1 << 25, 16
+#: first occurrences up to which a bit filter (64 MB at most) finds them; 32 bits for each, two of which are set
+FILTER_LINES, BITS_PER_LINE = 1 << 24, 32
 
 
 class Lines:
@@ -118,19 +118,19 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 class BitFilter:
-    """Bits of the places in a table, as many as its counted rows ask for."""
+    """Bits of the places in a table, as many as its counted rows ask for; each sets one by its high and one by its low end."""
 
     def __init__(self, places: DataFrame, count: int):
-        self.shift = 64 - max(12, (BITS_PER_LINE * count - 1).bit_length())
-        slot = F.shiftrightunsigned("place", self.shift)
-        words = places.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        self.bits = np.zeros(1 << (58 - self.shift), np.int64)
+        self.size = max(12, (BITS_PER_LINE * count - 1).bit_length())
+        slots = places.select(F.explode(F.array(F.shiftrightunsigned("place", 64 - self.size), F.col("place").bitwiseAND(F.lit((1 << self.size) - 1)))).alias("slot"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+        found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (self.size - 6), np.int64)
         self.bits[found["word"].to_numpy()] = found["bits"].to_numpy()
 
     def has(self, places: np.ndarray) -> np.ndarray:
-        slot = (places.view(np.uint64) >> np.uint64(self.shift)).view(np.int64)
-        return (self.bits[slot >> 6] >> (slot & 63)) & 1 == 1
+        high, low = (places.view(np.uint64) >> np.uint64(64 - self.size)).view(np.int64), places & ((1 << self.size) - 1)
+        return (self.bits[high >> 6] >> (high & 63)) & (self.bits[low >> 6] >> (low & 63)) & 1 == 1
 
 
 def neighbourhood(docs: DataFrame, wanted: BitFilter | None) -> DataFrame:
