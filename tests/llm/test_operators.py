@@ -1,6 +1,8 @@
 """The operators against brute force, round trips and held-out accuracy on small fixtures."""
 
 import hashlib
+import itertools
+import math
 import random
 
 import numpy as np
@@ -177,8 +179,6 @@ def test_language_and_quality_and_toxicity(odd, spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
     got = quality.predicted(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95
-    got = toxicity.predicted(docs, labels).join(labels, "doc_id").where("NOT held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
     nothing = labels.where("false")
     for out in (language.predicted(odd), quality.predicted(odd, nothing), toxicity.predicted(odd, nothing)):
         assert out.count() == odd.count() and all(0 <= r.score <= 1 for r in out.collect())
@@ -186,6 +186,63 @@ def test_language_and_quality_and_toxicity(odd, spark):
         assert out.count() == 0
 
 
+def kernel_of(a, b):
+    """Shared gapped subsequences of four codes by listing them."""
+
+    def counts(w):
+        text, out = f" {w} ", {}
+        for i in itertools.combinations(range(len(text)), 4):
+            if i[3] - i[0] <= 5:
+                key = "".join(text[k] for k in i)
+                out[key] = out.get(key, 0) + 0.6 ** (i[3] - i[0] - 3)
+        return out
+
+    norm = lambda w: math.sqrt(max(1.0, sum(max(0, len(w) + 2 - d) * 0.6 ** (2 * (d - 3)) for d, n in ((3, 1), (4, 3), (5, 6)) for _ in range(n))))
+    x, y = counts(a), counts(b)
+    return sum(v * y.get(k, 0) for k, v in x.items()) / norm(a) / norm(b)
+
+
+def test_string_kernel_is_the_listed_one():
+    marks = toxicity.Landmarks(["loser", "the", "worthless"])
+    words = ["loser", "loxser", "lozer", "these", "worth", "a", "worthlessness"]
+    listed = np.array([[kernel_of(w, m) for m in ("loser", "the", "worthless")] for w in words])
+    assert np.allclose(marks.rows(words) @ marks.marks.T, listed, rtol=1e-4)
+    w = np.arange(1.0, marks.whiten.shape[1] + 2)
+    machine = marks.folded(w)
+    c, starts, ends = toxicity.coded(words)
+    assert np.allclose(machine.words(c, starts, ends), listed @ (marks.whiten @ w[:-1]) + w[-1], rtol=1e-3)
+
+
+def test_words_of_the_normal_form():
+    forms = {"L.O.S.E.R!": ["loser"], "a s s and l o s e r": ["and", "ass", "loser"], "l0$er": ["loser"], "Ídiot...": ["idiot"], "***": [], "": [], None: [], "end.\tNew": ["end", "new"]}
+    for text, words in forms.items():
+        assert toxicity.distinct_words(text) == words
+    texts = [*forms, "x" * 100, "loser " * 1000]
+    machine = toxicity.Landmarks(["loser", "idiot"]).folded(np.array([1.0, 1.0, -0.5]))
+    alone = np.concatenate([machine.summaries([t]) for t in texts])
+    assert np.allclose(machine.summaries(texts), alone) and alone[-1][4] == pytest.approx(np.log1p(1))
+    assert np.allclose(machine.summaries(["loser of words " * 300_000]), machine.summaries(["loser of words"]))
+
+
+def test_a_token_of_ten_megabytes_stays_small():
+    import resource
+
+    machine = toxicity.Landmarks(["loser", "idiot"]).folded(np.array([1.0, 1.0, -0.5]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    machine.summaries(["x" * 10_000_000])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.predicted(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert got[got.toxic == 1].predicted.mean() >= 0.9 and got[got.toxic == 0].predicted.mean() <= 0.03
+    machine = toxicity.train(docs, labels, "toxic", toxicity.crc_mod(5) != 0)
+    plain = "The and there of idiot thing on the."
+    hidden = [plain.replace("idiot", x) for x in ("idiot", "IDIOT!", "i.d.i.o.t", "i d i o t", "id1ot", "idxiot")]
+    assert (machine.score(machine.summaries(hidden)) >= 0.5).all() and machine.score(machine.summaries([plain.replace("idiot", "ation"), "", None])).max() < 0.5
+
+
 def test_html_blocks(spark):
     page = "<title>t</title><nav>menu</nav><script>if (a < b) '</p>'</script><article><h1>One</h1><p>A &amp; b<br>c <a href=x>d</a><p>Two</article><!-- x --><footer>f</footer>"
     assert [b.text for b in html_extract.blocks(page) if html_extract.is_main(b.path)] == ["One", "A & b c d", "Two"]
