@@ -186,6 +186,63 @@ def test_language_and_quality_and_toxicity(odd, spark):
         assert out.count() == 0
 
 
+def slow_bits(text, sample):
+    """Code length by asking the tree byte by byte, longest context first."""
+    low = lambda b: bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+    follow = {}
+    for t in sample:
+        b = b"   " + low(t.encode())
+        for k in range(3, len(b)):
+            for order in range(4):
+                seen = follow.setdefault(b[k - order : k], {})
+                seen[b[k]] = seen.get(b[k], 0) + 1
+    b, bits = b"   " + low(text.encode()), 0.0
+    for k in range(3, len(b)):
+        for order in (3, 2, 1, 0, -1):
+            seen = follow.get(b[k - order : k]) if order >= 0 else None
+            if order < 0:
+                bits += 8
+            elif seen:
+                total = sum(seen.values()) + len(seen)
+                if b[k] in seen:
+                    bits -= math.log2(seen[b[k]] / total)
+                    break
+                bits -= math.log2(len(seen) / total)
+    return bits
+
+
+def test_language_of_thirty_scripts(spark, monkeypatch):
+    """Code lengths are those of the trees asked byte by byte, with more languages than groups that stay laid out."""
+    monkeypatch.setattr(language, "GROUP", 7)
+    monkeypatch.setattr(language, "HELD", 2)
+    monkeypatch.setattr(language, "STEP", 50)
+    rng = random.Random(5)
+    letters = {f"l{k:02}": [chr(0x61 + (k * 5 + j) % 26) if k < 10 else chr(0x4E00 + k * 40 + j) for j in range(12)] for k in range(30)}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7)))
+    rows = [(n, " ".join(word(lang) for _ in range(8)), lang) for n, lang in enumerate(sorted(letters) * 5)]
+    rows += [(900, "", "l00"), (901, None, "l00"), (902, "12 34", "l00"), (903, rows[0][1], None), (3, "Zz zz another text", "l03"), (3, "Zz zz another text", "l03")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    trees = language.train(docs, language.crc_mod(4) != 2)
+    import zlib
+
+    sample = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and lang and i != 3:
+            sample.setdefault(lang, []).append(t)
+    trees_of = [x for x in trees.languages if x != "l03"]
+    import pyarrow as pa
+
+    asked = [t for _, t, _ in rows[:40] if t]
+    bits = trees.bits(pa.array(asked))
+    for k, t in enumerate(asked):
+        for lang in rng.sample(trees_of, 6):
+            assert bits[k, trees.languages.index(lang)] == pytest.approx(slow_bits(t, sample[lang]), rel=1e-5)
+    got = language.predicted(docs).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == dict.fromkeys((900, 901, 902), "und")
+    far = [r for r in got if r.doc_id < 150 and rows[r.doc_id][2] >= "l10" and r.doc_id != 3]
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in far]) > 0.95
+
+
 def kernel_of(a, b):
     """Shared gapped subsequences of four codes by listing them."""
 
