@@ -1,21 +1,23 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into blocks (text between block-level tags). A numpy bidirectional LSTM reads for each block the mean of
-learned vectors of its tag path (tags, classes, ids and roles, hashed), the mean of learned vectors of hashed words and a
-few measures (length, share of linked text, place in the page), and labels every block with the whole page as context.
-The blocks labelled as main text are the result.
+learned vectors of its tag path (tags, classes, ids and roles of all open elements, hashed), the mean of learned vectors of
+all its hashed words and a few measures (length, share of linked text, place in the page), and labels every block with the
+whole page as context. The blocks labelled as main text are the result.
 
 There are no labelled pages, so the labeller learns from the pages themselves: in a bounded sample of pages that have an
-``article`` or ``main`` element, blocks inside it and outside any element that names a menu, notice, advert, form, comment
-or the like are main text, all others aren't. Blocks with such paths are also put in at random places with words of the
-page, and path parts are hidden at random, so that it relies on paths, words and neighbours together.
+``article`` or ``main`` element, blocks inside it and outside any element that is or names a menu, notice, advert, form,
+comment or the like are main text, all others aren't. An article's own names don't count, nor does a header inside it.
+Blocks with such paths are also put in at random places with words of the page, elements are put in between, and path parts
+are hidden at random, so that it relies on paths, words and neighbours together. Where no page of the sample has such an
+element, pages made of the same parts and the words of the sample teach it.
 
 White space in a block becomes one blank, blocks are joined by a line feed, character references are decoded, and
-nothing is dropped or cut besides. Scripts, styles, comments and other text that isn't shown never become blocks.
-Defined cases: null or empty html, and pages without main text, give an empty text of length 0; very long pages are
-labelled whole; broken markup is read as far as it goes (an unclosed script or comment ends with the page); without a
-page to learn from, the rule that labels the sample is applied itself; an empty table gives no rows; repeated rows and
-extra columns don't matter.
+nothing is dropped or cut besides. Scripts, styles, comments and other text that isn't shown never become blocks; formulas
+do. A slash at the end of a tag means nothing, as in HTML. Defined cases: null or empty html, and pages without main text,
+give an empty text of length 0; very long and very deep pages are labelled whole, in time that goes with their length;
+broken markup is read as far as it goes (a tag, script or comment that doesn't end takes the rest of the page); an empty
+table gives no rows; repeated rows and extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,21 +25,24 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+OPENED = re.compile(r"</?[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?)")
 PARTS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: elements whose content is text up to their end tag and isn't shown; elements that aren't shown but hold markup
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style textarea title iframe noembed noframes".split()}
+HIDDEN = frozenset("head noscript template svg select object datalist audio video canvas annotation annotation-xml".split())
+HEAD_ONLY = frozenset("head html base basefont bgsound link meta noscript script style template title".split())
+QUIET = HIDDEN - {"head"}  # they stand within a block
+INLINE = frozenset("math menclose mfenced mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset(("article", "main"))
 SIDE_TAGS = frozenset("nav header footer aside form button menu dialog label".split())
@@ -47,107 +52,194 @@ SIDE_NAMES = frozenset(
 )
 #: what else holds an article on other sites
 CONTAINERS = (("main",), ("article",), ("div", "content"), ("div", "post"), ("div", "entry"), ("section", "body"), ("main", "article"), ("div", "main", "article"), ("div", "story"))
-TAG_SLOTS, WORD_SLOTS, WIDTH, HIDDEN, MEASURES = 512, 1024, 8, 12, 6
-DEPTH, FIRST, LAST = 8, 10, 4
+PLAIN = ("post", "entry", "body", "text", "page", "wrap")
+TAG_SLOTS, WORD_SLOTS, WIDTH, STATE, MEASURES = 512, 1024, 8, 12, 6
+
+
+class Path:
+    """An open element with its names and all elements around it; elements of like paths share one."""
+
+    __slots__ = ("parent", "slots", "count", "depth", "main", "side", "children", "sums")
+
+    def __init__(self, parent: Path | None, parts: tuple[str, ...]):
+        self.parent, self.children, self.sums = parent, {}, None
+        self.slots = [slot(p, TAG_SLOTS) for p in parts]
+        self.count = len(parts) + (parent.count if parent else 0)
+        self.depth = 1 + parent.depth if parent else 0
+        self.main = self.side = False
+        if parent:
+            tag, *names = parts
+            self.main = parent.main or tag in MAIN
+            kept = tag in MAIN or (tag == "header" and parent.main)
+            self.side = parent.side or (not kept and (tag in SIDE_TAGS or any(n in SIDE_NAMES for n in names)))
+
+    def inside(self, *parts: str) -> Path:
+        found = self.children.get(parts)
+        if found is None:
+            found = self.children[parts] = Path(self, parts)
+        return found
+
+    def all_slots(self) -> list[int]:
+        out, at = [], self
+        while at is not None:
+            out += at.slots
+            at = at.parent
+        return out or [0]
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """Mean of the vectors of all parts; sums are kept with each path."""
+        at, new = self, []
+        while at is not None and at.sums is None:
+            new.append(at)
+            at = at.parent
+        for path in reversed(new):
+            path.sums = (path.parent.sums if path.parent is not None else 0) + table[path.slots].sum(0)
+        return self.sums / self.count if self.count else table[0]
 
 
 class Block:
     __slots__ = ("path", "linked", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: float):
+    def __init__(self, text: str, path: Path, linked: float):
         self.text, self.path, self.linked = text, path, linked
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order; a path is the open elements from the outside in, each with its names."""
+def tag_at(page: str, at: int) -> tuple[str, str, int]:
+    """Name, names in class, id and role, and end (0 where the page ends first) of the tag that opens at ``at``."""
+    m = OPENED.match(page, at)
+    name, names, at = m[0].lower().lstrip("<"), "", m.end()
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        if m is None:
+            return name, names, 0
+        at = m.end()
+        if m[1]:
+            return name, names, at
+        if m[2].lower() in ("class", "id", "role"):
+            names += " " + (m[3] or m[4] or m[5] or "")
+
+
+def blocks(page: str | None, root: Path | None = None) -> list[Block]:
+    """The blocks of a page in order, each with the path of its open elements from the outside in."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    page, path = page or "", root or Path(None, ())
+    stack: list[tuple[str, Path, bool, bool]] = []  # tag, path around it, whether it hides, whether it bounds a block
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    links = 0
+    links = anchors = hidden = at = 0
 
     def flush():
         nonlocal links
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(x for tag, names in stack[-DEPTH:] if tag not in INLINE for x in (tag, *names)), min(1.0, links / len(text))))
+                out.append(Block(text, path, min(1.0, links / len(text))))
             held.clear()
         links = 0
 
     def leave(k: int):
-        if any(t not in INLINE for t, _ in stack[k:]):
+        nonlocal path, hidden
+        if any(bounds for *_, bounds in stack[k:]):
             flush()
+        for tag, _, hides, _ in stack[k:]:
+            opened[tag] -= 1
+            hidden -= hides
+        path = stack[k][1]
         del stack[k:]
 
-    at, page = 0, page or ""
-    anchors = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            held.append(piece)
-            if anchors:
-                links += len(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    def close(tag: str) -> None:
+        if opened[tag]:
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                k -= 1
+            leave(k)
+
+    while at < len(page):
+        cut = page.find("<", at)
+        cut = cut if cut >= 0 else len(page)
+        if cut > at and not hidden:
+            held.append(page[at:cut])
+            links += (cut - at) * anchors
+        if cut + 1 >= len(page):
+            if cut < len(page) and not hidden:
+                held.append("<")
+            break
+        sign = page[cut + 1]
+        if sign in "!?":
+            end = page.find("-->", cut + 2) + 3 if page.startswith("<!--", cut) else page.find(">", cut) + 1
+            if page.startswith(("<!-->", "<!--->"), cut):
+                end = page.find(">", cut) + 1
+            at = end if end > cut else len(page)
             continue
-        tag = tag.lower()
-        if tag not in INLINE:
+        if not OPENED.match(page, cut):
+            if sign == "/":  # </ and no name: a comment
+                at = page.find(">", cut) + 1 or len(page)
+            else:
+                if not hidden:
+                    held.append("<")
+                at = cut + 1
+            continue
+        tag, names, at = tag_at(page, cut)
+        if not at:
+            break
+        closing, tag = tag[0] == "/", tag.lstrip("/")
+        if tag in RAW and not opened["svg"]:
+            if closing:
+                continue
+            end = RAW[tag].search(page, at)
+            if end is None:
+                break
+            at = page.find(">", end.end()) + 1 or len(page)
+            continue
+        if tag not in INLINE and tag not in QUIET and not hidden:
             flush()
-        if m[2]:
+        if closing:
             if tag == "a":
                 anchors = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
+            close(tag)
             continue
-        if tag == "br":
+        if opened["head"] and tag not in HEAD_ONLY:
+            close("head")
+        if tag == "br" and not hidden:
             held.append(" ")
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or (opened["svg"] and page[at - 2] == "/"):
             continue
         if tag == "a":
             anchors = 1
-        elif tag in CLOSES_P or tag == "li":
+        if tag in CLOSES_P or tag == "li":
             ends = "p" if tag in CLOSES_P else "li"
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == ends:
-                    leave(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag in INLINE and tag != "a":
-            continue
-        names = tuple(sorted({p for g in NAMES.findall(m[4]) for p in PARTS.findall("".join(g).lower())})) if m[4] else ()
-        if tag != "a":
-            stack.append((tag, names))
-    held.append(page[at:])
+            if opened[ends] and stack[-1][0] == ends:
+                leave(len(stack) - 1)
+        if tag not in INLINE:
+            hides = tag in HIDDEN
+            stack.append((tag, path, hides, not hidden and tag not in QUIET))
+            opened[tag] += 1
+            hidden += hides
+            path = path.inside(tag, *sorted({*PARTS.findall(names.lower())})) if names else path.inside(tag)
     flush()
     return out
 
 
-def is_main(path: tuple[str, ...]) -> bool:
+def is_main(path: Path) -> bool:
     """The rule that labels the sample."""
-    return any(p in MAIN for p in path) and not any(p in SIDE_TAGS or p in SIDE_NAMES for p in path)
+    return path.main and not path.side
 
 
 def slot(word: str, slots: int) -> int:
-    return zlib.crc32(word.encode()) % slots
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % slots
 
 
 class Inputs:
-    """Hashed parts of paths and words and the measures of the blocks of one page."""
+    """Paths, hashed words and the measures of the blocks of one page."""
 
     def __init__(self, found: list[Block]):
         n = len(found)
-        self.n = n
-        self.tags = [[slot(p, TAG_SLOTS) for p in b.path] or [0] for b in found]
-        self.words = []
-        for b in found:
-            w = b.text.split(" ", FIRST) if len(b.text) > 120 else b.text.split(" ")
-            w = w[:FIRST] + b.text[-60:].split(" ")[-LAST:] if len(w) > FIRST else w
-            self.words.append([slot(x, WORD_SLOTS) for x in w])
-        self.measures = np.array([[min(4.0, np.log1p(len(b.text)) / 2), b.linked, k / n, (n - k) / n, min(1.0, len(b.path) / 10), b.text[-1] in ".!?:;\""] for k, b in enumerate(found)], np.float32).reshape(n, MEASURES)
+        self.n, self.paths = n, [b.path for b in found]
+        self.words = [[slot(x, WORD_SLOTS) for x in b.text.split(" ")] for b in found]
+        self.measures = np.array([[min(4.0, np.log1p(len(b.text)) / 2), b.linked, k / n, (n - k) / n, min(1.0, b.path.count / 10), b.text[-1] in ".!?:;\""] for k, b in enumerate(found)], np.float32).reshape(n, MEASURES)
+
+    def tags(self) -> list[list[int]]:
+        return [p.all_slots() for p in self.paths]
 
 
 def averaged(table: np.ndarray, lists: list[list[int]]) -> np.ndarray:
@@ -167,30 +259,30 @@ class Labeller:
         rng = np.random.default_rng(seed)
         wide = 2 * WIDTH + MEASURES
         normal = lambda *shape, s=0.3: (s * rng.standard_normal(shape)).astype(np.float32)
-        self.p = {"tags": normal(TAG_SLOTS, WIDTH), "words": normal(WORD_SLOTS, WIDTH), "out": normal(2 * HIDDEN + 1)}
+        self.p = {"tags": normal(TAG_SLOTS, WIDTH), "words": normal(WORD_SLOTS, WIDTH), "out": normal(2 * STATE + 1)}
         for d in "fb":
-            self.p[d] = normal(wide + HIDDEN + 1, 4 * HIDDEN)
-            self.p[d][-1, HIDDEN : 2 * HIDDEN] = 1.0  # the forget gate starts open
+            self.p[d] = normal(wide + STATE + 1, 4 * STATE)
+            self.p[d][-1, STATE : 2 * STATE] = 1.0  # the forget gate starts open
 
-    def inputs(self, pages: list[Inputs]) -> np.ndarray:
-        """(steps, pages, features) of pages padded to the longest."""
+    def inputs(self, pages: list[Inputs], frozen: bool = False) -> np.ndarray:
+        """(steps, pages, features) of pages padded to the longest; once frozen, paths keep the sums of their vectors."""
         longest = max(p.n for p in pages)
         x = np.zeros((longest, len(pages), 2 * WIDTH + MEASURES), np.float32)
         for k, p in enumerate(pages):
-            x[: p.n, k] = np.concatenate([averaged(self.p["tags"], p.tags), averaged(self.p["words"], p.words), p.measures], 1)
+            x[: p.n, k] = np.concatenate([np.array([q.mean(self.p["tags"]) for q in p.paths]) if frozen else averaged(self.p["tags"], p.tags()), averaged(self.p["words"], p.words), p.measures], 1)
         return x
 
     def run(self, x: np.ndarray, lengths: np.ndarray, d: str, keep: bool = False):
         """Hidden states of one direction; padding after a page's end leaves the state at zero."""
         steps, n, _ = x.shape
         w = self.p[d]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, saved = np.zeros((steps, n, HIDDEN), np.float32), []
+        h, c = np.zeros((n, STATE), np.float32), np.zeros((n, STATE), np.float32)
+        out, saved = np.zeros((steps, n, STATE), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             on = (t < lengths)[:, None]
             z = np.concatenate([x[t], h, np.ones((n, 1), np.float32)], 1)
             g = z @ w
-            i, f, o, u = sigmoid(g[:, :HIDDEN]), sigmoid(g[:, HIDDEN : 2 * HIDDEN]), sigmoid(g[:, 2 * HIDDEN : 3 * HIDDEN]), np.tanh(g[:, 3 * HIDDEN :])
+            i, f, o, u = sigmoid(g[:, :STATE]), sigmoid(g[:, STATE : 2 * STATE]), sigmoid(g[:, 2 * STATE : 3 * STATE]), np.tanh(g[:, 3 * STATE :])
             before = c
             c = np.where(on, f * c + i * u, 0)
             tc = np.tanh(c)
@@ -202,7 +294,7 @@ class Labeller:
 
     def label(self, pages: list[Inputs]) -> list[np.ndarray]:
         """Probabilities that each block of each page is main text."""
-        x, lengths = self.inputs(pages), np.array([p.n for p in pages])
+        x, lengths = self.inputs(pages, True), np.array([p.n for p in pages])
         both = np.concatenate([self.run(x, lengths, "f")[0], self.run(x, lengths, "b")[0]], 2)
         p = sigmoid(both @ self.p["out"][:-1] + self.p["out"][-1])
         return [p[: n, k] for k, n in enumerate(lengths)]
@@ -219,11 +311,11 @@ class Labeller:
         err = (sigmoid(both @ self.p["out"][:-1] + self.p["out"][-1]) - y) * mask / mask.sum()
         g = {"out": np.r_[(both * err[:, :, None]).sum((0, 1)), err.sum()]}
         dx = np.zeros_like(x)
-        for d, saved, part in (("f", sf, 0), ("b", sb, HIDDEN)):
+        for d, saved, part in (("f", sf, 0), ("b", sb, STATE)):
             w = self.p[d]
-            gw, dh, dc = np.zeros_like(w), np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            gw, dh, dc = np.zeros_like(w), np.zeros((n, STATE), np.float32), np.zeros((n, STATE), np.float32)
             for t, on, z, i, f, o, u, before, tc in reversed(saved):
-                dh = np.where(on, dh + err[t][:, None] * self.p["out"][part : part + HIDDEN], 0)
+                dh = np.where(on, dh + err[t][:, None] * self.p["out"][part : part + STATE], 0)
                 dc = np.where(on, dc + dh * o * (1 - tc**2), 0)
                 dg = np.concatenate([dc * u * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u**2)], 1)
                 gw += z.T @ dg
@@ -233,7 +325,7 @@ class Labeller:
             g[d] = gw
         g["tags"], g["words"] = np.zeros_like(self.p["tags"]), np.zeros_like(self.p["words"])
         for k, p in enumerate(pages):
-            for name, lists, at in (("tags", p.tags, 0), ("words", p.words, WIDTH)):
+            for name, lists, at in (("tags", p.tags(), 0), ("words", p.words, WIDTH)):
                 sizes = np.array([len(v) for v in lists])
                 flat = np.fromiter((i for v in lists for i in v), np.int64, sizes.sum())
                 np.add.at(g[name], flat, np.repeat(dx[: p.n, k, at : at + WIDTH] / sizes[:, None], sizes, 0))
@@ -252,45 +344,96 @@ class Labeller:
                 self.p[k] = (self.p[k] - 0.03 * min(1.0, 2 - 2 * t / rounds) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
 
+def rebuilt(path: Path, change: Callable[[tuple[str, ...]], list[tuple[str, ...]]]) -> Path:
+    """The same path with each element's parts changed."""
+    out = Path(None, ())
+    for parts in chain(path):
+        for new in change(parts):
+            out = out.inside(*new) if new else out
+    return out
+
+
+def chain(path: Path) -> list[tuple[str, ...]]:
+    """Parts of each element of a path from the outside in."""
+    out = []
+    while path.parent is not None:
+        out.append(next(parts for parts, child in path.parent.children.items() if child is path))
+        path = path.parent
+    return out[::-1]
+
+
 def augmented(found: list[Block], rng: np.random.Generator) -> list[tuple[Block, bool]]:
-    """A page's blocks with their labels, blocks of other kinds put in, and parts of paths hidden."""
+    """A page's blocks with their labels, blocks of other kinds put in, elements put in between, and parts of paths hidden."""
     out = [(b, is_main(b.path)) for b in found]
     sides, bodies = sorted(SIDE_NAMES), sorted(SIDE_TAGS)
-    words = [w for b in found for w in b.text.split(" ")[:20]]
+    words = [w for b in found for w in b.text.split(" ")[:200]]
+    plain = Path(None, ()).inside("html").inside("body")
+    drawn = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
     for _ in range(rng.integers(0, 5)):
         at = int(rng.integers(0, len(out) + 1))
-        near = out[min(at, len(out) - 1)][0].path if rng.random() < 0.5 else ("html", "body")
-        kind = ("div", sides[rng.integers(len(sides))]) if rng.random() < 0.6 else (bodies[rng.integers(len(bodies))],)
+        near = out[min(at, len(out) - 1)][0].path if rng.random() < 0.5 else plain
+        kind = near.inside("div", sides[rng.integers(len(sides))]) if rng.random() < 0.6 else near.inside(bodies[rng.integers(len(bodies))])
+        if kind.parent.main and chain(kind)[-1] == ("header",):
+            kind = plain.inside("header")
         for _ in range(rng.integers(1, 4)):
-            text = " ".join(words[i] for i in rng.integers(0, len(words), rng.integers(1, 40)))
-            out.insert(at, (Block(text, (*near, *kind, *(("p",) if rng.random() < 0.5 else ("ul", "li") if rng.random() < 0.5 else ())), float(rng.random() < 0.3)), False))
+            low = kind.inside("p") if rng.random() < 0.5 else kind.inside("ul").inside("li") if rng.random() < 0.5 else kind
+            out.insert(at, (Block(drawn(rng.integers(1, 40)), low, float(rng.random() < 0.3)), False))
     for _ in range(rng.integers(0, 4)):  # main text of any words, at a random place among it
-        inside = [k for k, (b, y) in enumerate(out) if y]
-        at = inside[rng.integers(len(inside))] if inside else 0
+        inside = [k for k, (_, y) in enumerate(out) if y]
         if inside:
-            drawn = rng.integers(0, len(words), 1 if rng.random() < 0.4 else rng.integers(1, 60))
-            text = " ".join(words[i] for i in drawn for _ in range(rng.integers(2, 40) if len(drawn) == 1 else 1))
-            out.insert(at + 1, (Block(text, out[at][0].path if rng.random() < 0.7 else (*out[at][0].path[:3], ("h2", "p", "blockquote", "pre")[rng.integers(4)]), 0.0), True))
+            at = inside[rng.integers(len(inside))]
+            text = " ".join([drawn(1)] * rng.integers(2, 40)) if rng.random() < 0.4 else drawn(rng.integers(1, 60))
+            path = out[at][0].path
+            path = path if rng.random() < 0.7 or path.parent is None else path.parent.inside(("h2", "p", "blockquote", "pre", "header")[rng.integers(5)])
+            out.insert(at + 1, (Block(text, path, 0.0), True))
     hide = rng.random() < 0.1
     other = CONTAINERS[rng.integers(len(CONTAINERS))] if rng.random() < 0.5 else None
-    renamed = lambda path: tuple(x for p in path for x in (other if other and p in MAIN else (p,)))
-    return [(Block(b.text, tuple(p for p in renamed(b.path) if not (hide and p in MAIN) and rng.random() > 0.03), b.linked), y) for b, y in out]
-
-
-def train(pages: DataFrame, sample: int = 500, longest: int = 120, rounds: int = 600) -> Labeller | None:
-    """From at most ``sample`` pages with an article, those with the smallest hash of the id; pages of over ``longest`` blocks don't teach."""
-    picked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).orderBy(F.xxhash64("page_id"), "page_id").select("page_id").limit(2 * sample)
-    texts = pages.select("page_id", "html").join(F.broadcast(picked.distinct()), "page_id").where(F.length("html") < 60_000).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample)
+    deep = int(rng.integers(1, 15)) if rng.random() < 0.3 else 0  # elements without a meaning, around the main text or inside it
+    named = sides[rng.integers(len(sides))] if rng.random() < 0.1 else None
+
+    def change(parts):
+        tag, *names = parts
+        if tag not in MAIN:
+            kept = tuple(p for p in parts if rng.random() > 0.03)
+            return [kept] if rng.random() > 0.02 * deep else [kept, *[("div",)] * deep]
+        if deep and rng.random() < 0.3:
+            names.append(PLAIN[rng.integers(len(PLAIN))])
+        new = [] if hide else [other] if other else [(tag, *names, *([named] if named else []))]
+        return [*[("div",)] * (deep // 2), *new, *[("div",)] * (deep - deep // 2)]
+
+    return [(Block(b.text, rebuilt(b.path, change), b.linked), y) for b, y in out]
+
+
+def made(words: list[str], rng: np.random.Generator) -> list[Block]:
+    """The blocks of a page of the usual parts with the given words."""
+    body = Path(None, ()).inside("html").inside("body")
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    menu = [Block(text(rng.integers(1, 4)), body.inside("nav").inside("ul").inside("li"), 1.0) for _ in range(rng.integers(1, 8))]
+    article = body.inside("article")
+    inner = [Block(text(rng.integers(3, 12)), article.inside("h1"), 0.0)] + [Block(text(rng.integers(10, 120)), article.inside("p"), 0.0) for _ in range(rng.integers(2, 15))]
+    return [*menu, *inner, Block(text(rng.integers(5, 25)), body.inside("footer"), 0.0)]
+
+
+def train(pages: DataFrame, sample: int = 500, longest: int = 120, characters: int = 60_000, rounds: int = 600) -> Labeller | None:
+    """From at most ``sample`` pages with an article (any pages, if none has), those with the smallest hash of the id.
+
+    Pages of over ``longest`` blocks or ``characters`` characters don't teach; None without pages to take words from.
+    """
+    short = pages.where(F.col("html").isNotNull() & (F.length("html") < characters)).select("page_id", "html")
+    order = [F.xxhash64("page_id"), "page_id", "html"]
+    texts = short.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).orderBy(*order).limit(sample).collect()  # at most ``sample`` pages
     rng = np.random.default_rng(3)
-    learned = []
-    for row in texts.collect():  # at most ``sample`` pages
-        found = blocks(row.html)
-        if 2 <= len(found) <= longest and any(is_main(b.path) for b in found):
-            for _ in range(2):
-                both = augmented(found, rng)
-                learned.append((Inputs([b for b, _ in both]), np.array([y for _, y in both], np.float32)))
-    if not learned:
+    taught = [found for found in (blocks(row.html) for row in texts) if 2 <= len(found) <= longest and any(is_main(b.path) for b in found)]
+    if not taught:
+        words = [w for row in short.orderBy(*order).limit(sample).collect() for b in blocks(row.html) for w in b.text.split(" ")[:100]]
+        taught = [made(words, rng) for _ in range(sample // 2)] if words else []
+    if not taught:
         return None
+    learned = []
+    for found in taught:
+        for _ in range(2):
+            both = augmented(found, rng)
+            learned.append((Inputs([b for b, _ in both]), np.array([y for _, y in both], np.float32)))
     out = Labeller()
     out.learn(learned, rounds)
     return out
@@ -298,8 +441,8 @@ def train(pages: DataFrame, sample: int = 500, longest: int = 120, rounds: int =
 
 def main_texts(found: list[list[Block]], labeller: Labeller | None) -> list[str]:
     out = [""] * len(found)
-    if labeller is None:
-        return ["\n".join(b.text for b in page if is_main(b.path)) for page in found]
+    if labeller is None:  # no page has a word
+        return out
     order = sorted((k for k, f in enumerate(found) if f), key=lambda k: len(found[k]))
     while order:
         take = max(1, min(len(order), 128, 60_000 // len(found[order[-1]])))
@@ -320,7 +463,8 @@ def extracted(pages: DataFrame, labeller: Labeller | None = None, learn: bool =
             texts: list[str] = []
             column = batch.column(2).to_pylist()
             for at in range(0, len(column), 512):
-                texts += main_texts([blocks(p) for p in column[at : at + 512]], spread.value)
+                root = Path(None, ())  # paths are shared by the pages of a portion
+                texts += main_texts([blocks(p, root) for p in column[at : at + 512]], spread.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -4,6 +4,9 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -300,17 +303,82 @@ def test_toxicity_on_held_out_rows(spark):
     assert (machine.score(machine.summaries(hidden)) >= 0.5).all() and machine.score(machine.summaries([plain.replace("idiot", "ation"), "", None])).max() < 0.5
 
 
+class Articles(HTMLParser):
+    """Text of article elements, a line for each block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.depth = [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.lines[-1] += " "
+        elif tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.lines[-1] += data
+
+
+def test_html_articles_of_pages_not_learned_from(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    learned, asked = pages.where("page_id % 3 = 0"), pages.where("page_id % 3 = 1")
+    labeller = html_extract.train(learned)
+    right = []
+    for r in html_extract.extracted(asked, labeller).join(asked.select("page_id", "html"), "page_id").collect():
+        parser = Articles()
+        parser.feed(re.sub(r"(?s)<(script|style).*?</\\1>|<!--.*?-->", "", r.html))
+        parser.close()
+        right.append(r.text == "\n".join(x for x in (" ".join(line.split()) for line in parser.lines) if x))
+        assert r.n_chars == len(r.text)
+    assert len(right) > 800 and np.mean(right) >= 0.99
+    body = "".join(f"<p>Paragraph {k} of the and thing ati on the ern with words.</p>" for k in range(6))
+    text = "\n".join(f"Paragraph {k} of the and thing ati on the ern with words." for k in range(6))
+    wrap = lambda x: "<html><head><title>t</title></head><body><nav><ul><li><a href=/x>menu</a></li></ul></nav>" + x + "<footer>&copy; the footer</footer></body></html>"
+    odd = {
+        "deep": wrap("<article>" + "<div>" * 10 + body + "</div>" * 10 + "</article>"),
+        "named": wrap(f'<article class="post share">{body}</article>'),
+        "titled": wrap(f"<article><header><h1>Title of the page</h1></header>{body}</article>"),
+        "slash": wrap(f'<article>{body}</article><div class="ad"/>Buy of the new thing now</div>'),
+        "formula": wrap(f"<article>{body}<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p></article>"),
+        "hidden": wrap(f"<article>{body}<p>One <svg><path d=x /><title>no</title></svg>block<script>x</script> here</p></article>"),
+    }
+    more = {"titled": "Title of the page\n" + text, "formula": text + "\nWe have x=2 here", "hidden": text + "\nOne block here"}
+    table = spark.createDataFrame([(k, n, x) for k, (n, x) in enumerate(odd.items())], "page_id bigint, url string, html string")
+    assert {r.url: r.text for r in html_extract.extracted(table, labeller).collect()} == {n: more.get(n, text) for n in odd}
+    other = spark.createDataFrame([(k, None, wrap(f"<div class=content>{body}</div>")) for k in range(3)], "page_id bigint, url string, html string")
+    assert html_extract.train(other) is not None and len(html_extract.extracted(other).collect()) == 3
+
+
 def test_html_blocks(spark):
     page = "<title>t</title><nav>menu</nav><script>if (a < b) '</p>'</script><article><h1>One</h1><p>A &amp; b<br>c <a href=x>d</a><p>Two</article><!-- x --><footer>f</footer>"
     assert [b.text for b in html_extract.blocks(page) if html_extract.is_main(b.path)] == ["One", "A & b c d", "Two"]
-    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
-    for r in html_extract.extracted(pages).join(pages, "page_id").collect():
-        assert r.n_chars == len(r.text) and "&copy;" not in r.text
+    (linked,) = html_extract.blocks("<p><a href=http://x.com/>all of it</a>")
+    assert linked.linked == 1.0
+    cut = {"<p>a<b x='": ["a"], "a < b <3": ["a < b <3"], "<p>a<!-- ": ["a"], "</ >x</p>": ["x"], "a<script>b": ["a"], "<head><title>x</title><p>y": ["y"], '<p title="a>b">c': ["c"], '<p title="a>b': ["b"], "<select><option>x<p>y": []}
+    for x, found in cut.items():
+        assert [b.text for b in html_extract.blocks(x)] == found
     empty = spark.createDataFrame([(1, None, None), (2, "u", "")], "page_id bigint, url string, html string")
     assert [r.text for r in html_extract.extracted(empty).collect()] == ["", ""]
     assert html_extract.extracted(empty.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<script " * 125_000, "<div>" * 100_000 + "</span>" * 100_000, "<div>x" * 100_000, "<p x=\"'>" * 125_000, "<!--" * 250_000, "<svg/>" * 150_000, "<a </a " * 140_000, "<li>x" * 200_000])
+def test_html_of_a_megabyte_takes_seconds(page):
+    began = time.time()
+    found = html_extract.blocks(page)
+    if found:
+        html_extract.Labeller().label([html_extract.Inputs(found[:2000])])
+    assert time.time() - began < 5
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 16))
