@@ -2,12 +2,14 @@
 
 The index is a Spark table bucketed and sorted by digest. A batch is hashed, grouped by digest (partial
 aggregation first, so that a group of copies leaves each map task as one row), deduplicated against the index by a
-sort-merge anti-join, and what is new is appended. Only (doc_id, 32-byte digest) rows are ever shuffled, never texts.
+sort-merge anti-join, and what is new is appended, as are the row counts of digests met again. Only (doc_id, 32-byte digest)
+rows are ever shuffled, never texts. Rows meet their group by sort and merge, but for the largest groups, of over one
+hundred-thousandth of the rows: there are 100,000 of these at most, which are broadcast, so that no task gets such a group.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z only; of equal texts
 in a batch the largest doc_id stays (null ids lose to any id); a digest that is already indexed keeps its indexed id;
 rows that repeat a doc_id with the same text are one document and are reported alike; an empty batch gives no rows.
-Extra columns are ignored.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,37 +45,41 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, groups: DataFrame, batch: str) -> None:
-        """Add the groups (digest, keep_id, n_rows) whose digest isn't indexed yet."""
-        new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        self._write(new.select("digest", "keep_id", "n_rows", F.lit(batch).alias("batch")).repartition(self.buckets, "digest"), "append")
+        """Add the groups (digest, keep_id, n_rows) whose digest isn't indexed yet, and the counts of the others under the id that is."""
+        known = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"))
+        new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti").select("digest", "keep_id", "n_rows")
+        again = groups.select("digest", "n_rows").hint("merge").join(known, "digest").select("digest", "keep_id", "n_rows")
+        self._write(new.unionByName(again).withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest"), "append")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+#: groups of more than this share of the rows are broadcast
+LARGE = 100_000
 
 
 def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; appends the batch to ``index``.
 
-    ``group_size`` counts the batch's rows and the rows of earlier batches that the index has seen when it added the digest.
+    ``group_size`` counts the rows of this and all earlier batches.
     """
     spark, batch = docs.sparkSession, batch or uuid.uuid4().hex
     scratch = Scratch(spark, "exact-dedup")
     hashed = scratch.keep(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "digests")
-    groups = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_rows"))
+    groups = scratch.keep(hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_rows")), "groups")
     index.append(groups, batch)
-    known = index.rows().select("digest", "keep_id", F.col("n_rows").alias("seen"), (F.col("batch") == batch).alias("new"))
-    sized = (
-        groups.select("digest", "n_rows")
-        .hint("merge")
-        .join(known, "digest")
-        .select("digest", "keep_id", (F.col("n_rows") + F.when(F.col("new"), 0).otherwise(F.col("seen"))).alias("group_size"), "new")
-    )
-    return (
-        hashed.join(sized.hint("merge"), "digest")
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+    known = index.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n_rows").alias("group_size"), F.every(F.col("batch") == batch).alias("new"))
+    sized = scratch.keep(groups.select("digest", "n_rows").hint("merge").join(known, "digest"), "sized")
+    large = F.broadcast(sized.where(F.col("n_rows") > max(1000, hashed.count() // LARGE)))
+    few = hashed.join(large, "digest")
+    rest = hashed.join(large.select("digest"), "digest", "left_anti").join(sized.hint("merge"), "digest")
+    return few.unionByName(rest).select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
@@ -85,13 +91,13 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns. Only the ids that go are joined."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    told = scratch.keep(dedup(docs, index), "told")
-    gone = scratch.keep(told.where("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct(), "gone")
-    repeated = told.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    marked = docs.withColumn("__digest", F.sha2(normalised(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__digest") == F.col("text_sha256"))
+    told = scratch.keep(dedup(docs.select("doc_id", "text"), index), "told")
+    gone = scratch.keep(told.where("NOT kept").select("doc_id", F.col("text_sha256").alias("digest")).distinct(), "gone")
+    repeated = told.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("digest"))
     stay = marked.join(small_side(gone, gone.count()), same, "left_anti")
-    return (stay.dropDuplicates(["doc_id", "__digest"]) if repeated else stay).select(*docs.columns)
+    return (stay.dropDuplicates(["id", "sha"]) if repeated else stay).select("row.*")
 
 
 ORACLE = f"""

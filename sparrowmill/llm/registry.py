@@ -29,7 +29,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(read(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    index = exact_dedup.fresh_index(spark)
+    out = exact_dedup.dedup(read(spark, sf_dir, "documents"), index)
+    index.drop()  # an index of one run; the result reads what was written beside it
+    return out
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

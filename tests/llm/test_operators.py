@@ -84,10 +84,22 @@ def test_exact_dedup(odd, spark):
     assert first[2].text_sha256 == hashlib.sha256(b"one").hexdigest()
     again = exact_dedup.dedup(odd.where("doc_id = 2").selectExpr("cast(99 as bigint) AS doc_id", "upper(text) AS text"), index).collect()
     assert [(r.keep_id, r.kept, r.group_size) for r in again] == [(2, False, 2)]
+    more = exact_dedup.dedup(odd.where("doc_id IN (2, 3)").selectExpr("doc_id + 100 AS doc_id", "CASE doc_id WHEN 2 THEN 'ONE' ELSE 'new' END AS text"), index).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept, r.group_size) for r in more) == [(102, 2, False, 3), (103, 103, True, 1)]
     assert exact_dedup.kept_documents(odd, exact_dedup.fresh_index(spark)).count() == len({(t or "").lower() for t in ODD})
     assert exact_dedup.dedup(odd.where("false"), exact_dedup.fresh_index(spark)).count() == 0
 
 
+def test_exact_dedup_with_large_groups_and_clashing_names(spark, monkeypatch):
+    names = "doc_id bigint, text string, gone_id string, text_sha256 string, row string, id string, sha string, digest string, keep_id string"
+    docs = spark.createDataFrame([(k, "same" if k % 3 else f"own {k % 100}", *"abcdefg") for k in range(3000)], names)
+    index = exact_dedup.fresh_index(spark)
+    told = {r.doc_id: r for r in exact_dedup.dedup(docs, index).collect()}
+    assert len(told) == 3000 and told[1].group_size == 2000 and told[1].keep_id == 2999 and told[2999].kept and told[0].group_size == 10
+    kept = exact_dedup.kept_documents(docs, exact_dedup.fresh_index(spark))
+    assert kept.columns == docs.columns and kept.count() == 101
+
+
 def test_bpe_matches_the_library(odd):
     from tokenizers import Tokenizer
 
