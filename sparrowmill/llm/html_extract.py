@@ -420,12 +420,17 @@ def train(pages: DataFrame, sample: int = 500, longest: int = 120, characters: i
     Pages of over ``longest`` blocks or ``characters`` characters don't teach; None without pages to take words from.
     """
     short = pages.where(F.col("html").isNotNull() & (F.length("html") < characters)).select("page_id", "html")
-    order = [F.xxhash64("page_id"), "page_id", "html"]
-    texts = short.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).orderBy(*order).limit(sample).collect()  # at most ``sample`` pages
+
+    def drawn(found: DataFrame) -> list[str]:
+        """Texts of at most ``sample`` pages; ids are drawn first, so that tasks send no texts but those."""
+        ids = found.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
+        one = found.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+        return [r.html for r in one.orderBy(F.xxhash64("page_id"), "page_id").collect()]
+
     rng = np.random.default_rng(3)
-    taught = [found for found in (blocks(row.html) for row in texts) if 2 <= len(found) <= longest and any(is_main(b.path) for b in found)]
+    taught = [found for found in map(blocks, drawn(short.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")))) if 2 <= len(found) <= longest and any(is_main(b.path) for b in found)]
     if not taught:
-        words = [w for row in short.orderBy(*order).limit(sample).collect() for b in blocks(row.html) for w in b.text.split(" ")[:100]]
+        words = [w for page in drawn(short) for b in blocks(page) for w in b.text.split(" ")[:100]]
         taught = [made(words, rng) for _ in range(sample // 2)] if words else []
     if not taught:
         return None
