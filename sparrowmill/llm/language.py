@@ -46,7 +46,8 @@ def sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     share = F.greatest(F.lit(4.0 * per_language) / F.count("*") - 1, F.lit(-1.0))
     bounds = known.groupBy("lang").agg(F.when(F.count("*") <= 2 * per_language, F.lit(2**63 - 1)).otherwise((share * 2.0**63).cast("bigint")).alias("bound"))
     by = Window.partitionBy("lang").orderBy("at", "doc_id")
-    near = known.join(bounds, "lang").where("at <= bound").select("doc_id", "lang", "at").distinct()
+    bounds = Scratch(docs.sparkSession, "language").keep(bounds, "bounds")  # a row for each language
+    near = known.join(small_side(bounds, bounds.count()), "lang").where("at <= bound").select("doc_id", "lang", "at").distinct()
     return near.withColumn("k", F.row_number().over(by)).where(f"k <= {per_language}").select("doc_id", "lang")
 
 
