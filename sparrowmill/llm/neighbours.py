@@ -225,11 +225,13 @@ class Index:
                 break
         return graph
 
-    def packed(self) -> DataFrame:
+    def packed(self, table: str) -> DataFrame:
         """The graph as a table bucketed by node: id, neighbours and their vectors."""
-        table = f"neighbours_{uuid.uuid4().hex[:12]}"
         codes = self.nodes.select(F.col("id").alias("nbr"), "code")
-        both = self.graph.select("id", "nbr").unionByName(self.graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).where(F.pmod(F.xxhash64("id", "nbr"), F.lit(4)) == 0)).distinct()
+        few = Window.partitionBy("id").orderBy(F.xxhash64("id", "nbr"))
+        back = self.graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")).where(F.pmod(F.xxhash64("id", "nbr"), F.lit(4)) == 0)
+        back = back.withColumn("n", F.row_number().over(few)).where(F.col("n") <= 2 * self.k).drop("n")  # a node that all point to keeps a row of bounded size
+        both = self.graph.select("id", "nbr").unionByName(back).distinct()
         rows = both.join(codes, "nbr").groupBy("id").agg(F.collect_list(F.struct("nbr", "code")).alias("near"))
         buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         rows.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
@@ -237,7 +239,8 @@ class Index:
 
     def search(self, queries: DataFrame, top: int, pool: int = POOL, steps: int = STEPS) -> DataFrame:
         """(query_id, rank, vec_id, score) for rows (query_id, node) of ``queries``; a query isn't its own neighbour."""
-        graph = self.packed()
+        table = f"neighbours_{uuid.uuid4().hex[:12]}"
+        graph = self.packed(table)
         state = "query bigint, node bigint, sim float, open boolean"
         first = queries.select("query_id", "node").join(self.graph.select(F.col("id").alias("node"), "nbr", "sim"), "node")
         home = queries.select(F.col("query_id").alias("query"), "node", F.lit(0.0).cast("float").alias("sim"), F.lit(False).alias("open"))
@@ -272,6 +275,7 @@ class Index:
             pools = self.scratch.keep(offered.repartition("query").sortWithinPartitions("query").mapInArrow(settle, state), "pools")
             if not pools.where("open").limit(1).count():
                 break
+        self.spark.sql(f"DROP TABLE {table}")  # pools hold all that is asked from here on
         return self._ranked(queries, pools, top)
 
     def _ranked(self, queries: DataFrame, pools: DataFrame, top: int) -> DataFrame:
