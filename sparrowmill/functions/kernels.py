@@ -1,31 +1,12 @@
-"""Small per-row helpers that run inside Arrow tasks: text metrics, assignment, element trees and their differences."""
+"""Text metrics of one pair of texts, for use inside Arrow tasks."""
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from collections.abc import Callable
-from html.parser import HTMLParser
 
 import numpy as np
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INDEX_LIMIT, PLACE_LIMIT = 1.5, 1.7
-CELLS = 4_000_000
-
-
-def text_sim(a: str, b: str) -> float:
-    """Jaccard of lower-cased words without the pipe sign; two empty texts are equal."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    x, y = (set(t.lower().replace("|", "").split()) for t in (a, b))
-    if not x and not y:
-        return 1.0
-    return len(x & y) / len(x | y)
-
 
 def ngrams(words: list[str], n: int) -> Counter:
     return Counter(zip(*(words[k:] for k in range(n)), strict=False))
@@ -64,190 +45,3 @@ def rouge_l(hypothesis: str, reference: str) -> float:
     h, r = hypothesis.split(), reference.split()
     n = common_length(h, r) if h and r else 0
     return 2 * n / (len(h) + len(r)) if n else 0.0
-
-
-def assign(cost: np.ndarray | Callable[[int], np.ndarray], shape: tuple[int, int] | None = None) -> np.ndarray:
-    """Column of each row in an assignment of least total cost (shortest augmenting paths), with no more rows than columns; a function gives a row's costs when asked."""
-    n, m = shape or cost.shape
-    costs = cost if callable(cost) else cost.__getitem__
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.full(m + 1, n)  # row of each column; column m is the root
-    for i in range(n):
-        owner[m], col = i, m
-        least, back, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
-        while owner[col] != n or col == m:
-            done[col] = True
-            row = owner[col]
-            free = ~done[:m]
-            slack = costs(row) - u[row] - v[:m]
-            better = free & (slack < least)
-            least[better], back[better] = slack[better], col
-            nxt = int(np.argmin(np.where(free, least, np.inf)))
-            step = least[nxt]
-            seen = np.flatnonzero(done)
-            u[owner[seen]] += step
-            v[seen] -= step
-            least[free] -= step
-            col = nxt
-            if owner[col] == n:
-                break
-        while col != m:
-            owner[col] = owner[back[col]]
-            col = int(back[col])
-    out = np.empty(n, int)
-    taken = np.flatnonzero(owner[:m] < n)
-    out[owner[taken]] = taken
-    return out
-
-
-class _Tree(HTMLParser):
-    """Elements of lenient markup in document order."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.open: list[int] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        shown = [v.strip() for k, v in a.items() if k in ("description", "id", "text", "aria-label") and v and v.strip()]
-        self.found.append({"tag": tag, "own": sorted(shown), "inner": [], "bounds": a.get("bounds") or "", "index": int(a["index"]) if (a.get("index") or "").isdigit() else -1, "depth": len(self.open)})
-        if tag not in VOID:
-            self.open.append(len(self.found) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.open and self.open[-1] == len(self.found) - 1:
-            self.open.pop()
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.found[self.open[k]]["tag"] == tag:
-                del self.open[k:]
-                break
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if text and self.open:
-            self.found[self.open[-1]]["own"].append(text)
-            for k in self.open[:-1]:
-                self.found[k]["inner"].append(text)
-
-
-def elements(markup: str | None) -> list[dict]:
-    """tag, text, index, bounds and depth of every element; one without own text takes that of its descendants."""
-    tree = _Tree()
-    tree.feed(markup or "")
-    tree.close()
-    return [{"tag": e["tag"], "text": " | ".join(e["own"] or e["inner"]), "index": e["index"] if e["index"] >= 0 else k, "bounds": e["bounds"], "depth": e["depth"]} for k, e in enumerate(tree.found)]
-
-
-PAIR = re.compile(r"\[(-?\d+),(-?\d+)\]")
-
-
-def centre(bounds: str) -> tuple[float, float] | None:
-    p = PAIR.findall(bounds or "")
-    return ((int(p[0][0]) + int(p[1][0])) / 2, (int(p[0][1]) + int(p[1][1])) / 2) if len(p) >= 2 else None
-
-
-class _Costs:
-    """Costs of pairing elements of one tag, a row for each of ``rows``; the whole matrix is laid out up to CELLS, larger ones a row at a time."""
-
-    def __init__(self, rows: list[dict], columns: list[dict], far: int, by_place: bool):
-        words = [[set(e["text"].lower().replace("|", "").split()) for e in side] for side in (rows, columns)]
-        self.places: dict[str, list[int]] | None = None
-        if len(rows) > 1:
-            self.places = {x: [] for w in words[0] for x in w}
-            for j, w in enumerate(words[1]):
-                for x in w:
-                    if x in self.places:
-                        self.places[x].append(j)
-        self.theirs = words[1]
-        self.words, self.sizes = words[0], np.array([len(w) for w in words[1]])
-        self.filled, self.has = [bool(e["text"]) for e in rows], np.array([bool(e["text"]) for e in columns])
-        self.by_place, self.far = by_place, far
-        self.index = [np.array([e["index"] for e in side]) for side in (rows, columns)]
-        if by_place:
-            self.at = [np.array([centre(e["bounds"]) or (np.nan, np.nan) for e in side]) for side in (rows, columns)]
-        self.shape = len(rows), len(columns)
-        self.laid = np.stack([self.row(i) for i in range(len(rows))]) if len(rows) * len(columns) <= CELLS else None
-
-    def row(self, i: int) -> np.ndarray:
-        if self.places is None:
-            both = np.array([len(self.words[i] & w) for w in self.theirs])
-        else:
-            both = np.bincount(np.array([j for x in self.words[i] for j in self.places[x]], int), minlength=self.shape[1])
-        union = len(self.words[i]) + self.sizes - both
-        same = np.where(union > 0, both / np.maximum(union, 1), self.has == self.filled[i])
-        c = 1.5 * (1 - same)
-        if self.by_place:
-            away = np.hypot(*(self.at[0][i] - self.at[1]).T)
-            c += 0.4 * np.where(np.isnan(away), 1.0, np.minimum(away / 2050, 1))
-        else:
-            c += 0.2 * np.abs(self.index[0][i] - self.index[1]) / self.far
-        return np.round(c, 5)
-
-    def __call__(self, i: int) -> np.ndarray:
-        return self.row(i) if self.laid is None else self.laid[i]
-
-
-def match(pred: list[dict], truth: list[dict], by_place: bool = False) -> list[tuple[int, int, float]]:
-    """Pairs (pred, truth, cost) of the assignment of least cost that stay under the limit.
-
-    Elements of different tags cost more than any two of one tag and always the same, as do those that are left over, so
-    each tag's elements are assigned by themselves.
-    """
-    if not pred or not truth:
-        return []
-    limit = PLACE_LIMIT if by_place else INDEX_LIMIT
-    far = max([e["index"] for e in pred + truth if e["index"] >= 0], default=1) or 1
-    tags: dict[str, tuple[list[int], list[int]]] = {}
-    for side, found in enumerate((pred, truth)):
-        for k, e in enumerate(found):
-            tags.setdefault(e["tag"], ([], []))[side].append(k)
-    pairs = []
-    for mine, theirs in tags.values():
-        if not mine or not theirs:
-            continue
-        turned = len(mine) > len(theirs)
-        sides = [pred[k] for k in mine], [truth[k] for k in theirs]
-        cost = _Costs(*(sides[::-1] if turned else sides), far, by_place)
-        for i, j in enumerate(assign(cost, cost.shape) if cost.shape[0] > 1 else [np.argmin(cost(0))]):
-            c = float(cost(i)[j])
-            if c < limit:
-                pairs.append((mine[int(j)], theirs[i], c) if turned else (mine[i], theirs[int(j)], c))
-    return sorted(pairs)
-
-
-def tree_score(pred: str | None, truth: str | None) -> dict[str, float]:
-    """Accuracy, precision, recall, F1, mean text similarity and share of near indexes of matched elements."""
-    p, t = elements(pred), elements(truth)
-    pairs = match(p, t) if p and t else []
-    if not pairs:
-        return dict.fromkeys(("ea", "precision", "recall", "f1", "text", "idx"), 0.0)
-    k = len(pairs)
-    return {
-        "ea": k / max(len(p), len(t)),
-        "precision": k / len(p),
-        "recall": k / len(t),
-        "f1": 2 * k / (len(p) + len(t)),
-        "text": sum(text_sim(p[i]["text"], t[j]["text"]) for i, j, _ in pairs) / k,
-        "idx": sum(abs(p[i]["index"] - t[j]["index"]) <= 2 for i, j, _ in pairs) / k,
-    }
-
-
-def tree_diff(current: str | None, following: str | None, emptied: bool = True) -> dict[str, int]:
-    """How many elements of the next tree are added, modified or unchanged and how many of the current are deleted."""
-    c, f = elements(current), elements(following)
-    if not f:
-        return {"added": 0, "modified": 0, "unchanged": 0, "deleted": len(c) if emptied else 0}
-    pairs = match(c, f)
-    same = sum(text_sim(c[i]["text"], f[j]["text"]) >= 1.0 for i, j, _ in pairs)
-    return {"added": len(f) - len(pairs), "modified": len(pairs) - same, "unchanged": same, "deleted": len(c) - len(pairs)}
-
-
-def element_lines(markup: str | None) -> list[str]:
-    """Sorted distinct lines of the leaves of a tree."""
-    found = elements(markup)
-    leaves = [e for k, e in enumerate(found) if k + 1 == len(found) or found[k + 1]["depth"] <= e["depth"]]
-    return sorted({f"<{e['tag']}>{e['text']}" for e in leaves})

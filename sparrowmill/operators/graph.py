@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -16,17 +17,34 @@ def page_edges(events: DataFrame) -> DataFrame:
     return moves.where("src IS NOT NULL AND src <> dst").distinct()
 
 
-def hop_distances(edges: DataFrame, start: str, limit: int = 50) -> DataFrame:
-    """(page, hops) by a frontier join; visited pages leave by an anti-join, lineage is cut at every step."""
-    reached = edges.sparkSession.createDataFrame([(start, 0)], "page string, hops int")
-    for hop in range(1, limit + 1):
-        front = reached.where(F.col("hops") == hop - 1)
-        new = edges.join(front, edges.src == front.page).select(F.col("dst").alias("page")).distinct().join(reached, "page", "left_anti")
-        new = new.withColumn("hops", F.lit(hop))
-        if new.isEmpty():
-            break
-        reached = reached.unionByName(new).checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else reached.unionByName(new)
-    return reached
+def hop_distances(edges: DataFrame, start: str, limit: int | None = None) -> DataFrame:
+    """(page, hops) of all pages reached from ``start`` by a frontier join; visited pages leave by an anti-join.
+
+    Each step is written to the session's checkpoint folder, if it has one, and read again, so lineage doesn't grow. With a
+    ``limit``, an error tells that pages beyond it remain.
+    """
+    spark = edges.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = f"{folder.rstrip('/')}/hops-{uuid.uuid4().hex[:12]}" if folder else None
+
+    def held(df: DataFrame, hop: int) -> DataFrame:
+        if root is None:
+            return df
+        df.write.parquet(f"{root}/{hop:06d}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{hop:06d}")
+
+    edges = held(edges.select("src", "dst").distinct(), 0)
+    reached = front = spark.createDataFrame([(start, 0)], "page string, hops int")
+    hop = 0
+    while True:
+        hop += 1
+        new = edges.join(front, edges.src == front.page).select(F.col("dst").alias("page")).distinct().join(reached.select("page"), "page", "left_anti")
+        front = held(new.withColumn("hops", F.lit(hop)), hop)
+        if front.isEmpty():
+            return reached
+        if limit is not None and hop > limit:
+            raise ValueError(f"pages beyond {limit} hops from {start}")
+        reached = reached.unionByName(front)
 
 
 def by_session(rows: DataFrame, order: list[str], start: Callable[[], Callable[..., int | None]], schema: str) -> DataFrame:

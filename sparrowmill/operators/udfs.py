@@ -6,15 +6,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowmill.functions import kernels
+from sparrowmill.functions import kernels, markup
 
 def fields(names: str, kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, kind) for n in names.split()])
 
 
 METRICS = fields("bleu rouge1 rouge2 rougel", T.DoubleType())
-TREE = fields("ea precision recall f1 text idx", T.DoubleType())
-DIFF = fields("added modified unchanged deleted", T.IntegerType())
 
 
 @F.pandas_udf(METRICS)
@@ -23,16 +21,6 @@ def text_metrics(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bleu", "rouge1", "rouge2", "rougel"])
 
 
-@F.pandas_udf(TREE)
-def tree_score(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([kernels.tree_score(p, t) for p, t in zip(pred, truth, strict=True)], columns=["ea", "precision", "recall", "f1", "text", "idx"])
-
-
-@F.pandas_udf(DIFF)
-def tree_diff(current: pd.Series, following: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([kernels.tree_diff(c, f) for c, f in zip(current, following, strict=True)], columns=["added", "modified", "unchanged", "deleted"])
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def element_lines(markup: pd.Series) -> pd.Series:
-    return markup.map(kernels.element_lines)
+def element_lines(texts: pd.Series) -> pd.Series:
+    return texts.map(markup.element_lines)

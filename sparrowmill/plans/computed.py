@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import columns as C
-from sparrowmill.operators import graph, retrieval, udfs
+from sparrowmill.operators import graph, retrieval, trees, udfs
 from sparrowmill.plans.registry import query
 from sparrowmill.streaming import coverage
 
@@ -87,19 +87,76 @@ def page_pairs(t):
     return t["pages"].join(later, "page_id")
 
 
+def page_states(t):
+    """Each page as a current state, the next page as the true next state and the one after as a predicted one."""
+    at = lambda k, name: t["pages"].select((F.col("page_id") - k).alias("page_id"), F.col("html").alias(name))
+    return at(0, "current").join(at(1, "truth"), "page_id").join(at(2, "pred"), "page_id")
+
+
+@query("fn46_elements")
+def fn46(t):
+    return trees.elements(t["pages"], "page_id", "html").withColumnRenamed("key", "page_id")
+
+
+@query("fn47_legacy_elements")
+def fn47(t):
+    return trees.elements(t["pages"], "page_id", "html", kind="legacy").withColumnRenamed("key", "page_id")
+
+
+@query("fn48_legacy_elements_by_bounds")
+def fn48(t):
+    return trees.elements(t["pages"], "page_id", "html", kind="legacy", place="bounds", aria=True).withColumnRenamed("key", "page_id")
+
+
+@query("mat01_element_pairs")
+def mat01(t):
+    found = trees.paired(page_pairs(t), "page_id", "html", "following")
+    return found.select("key", F.explode("pairs").alias("x")).select("key", "x.*")
+
+
 @query("met01_tree_score")
 def met01(t):
-    return page_pairs(t).select("page_id", udfs.tree_score("html", "following").alias("m")).select("page_id", "m.*")
+    return trees.scores(trees.paired(page_pairs(t), "page_id", "html", "following"))
+
+
+@query("met01_tree_score_by_bounds")
+def met01_by_bounds(t):
+    return trees.scores(trees.paired(page_pairs(t), "page_id", "html", "following", place="bounds"), near=50.0)
+
+
+@query("diff01_changes_by_cost")
+def diff01(t):
+    return trees.changes(trees.paired(page_pairs(t), "page_id", "html", "following"), rule="cost")
 
 
 @query("diff02_tree_diff")
 def diff02(t):
-    return page_pairs(t).select("page_id", udfs.tree_diff("html", "following").alias("d")).select("page_id", "d.*")
+    return trees.changes(trees.paired(page_pairs(t), "page_id", "html", "following"))
+
+
+@query("diff04_state_diff")
+def diff04(t):
+    states = page_states(t).select("page_id", "current", "truth", "pred")
+    pair = lambda a, b: trees.paired(states, "page_id", a, b)
+    return trees.state_diff(pair("current", "truth"), pair("current", "pred"), pair("pred", "truth"))
+
+
+@query("diff07_copy_baseline")
+def diff07(t):
+    """The row of a prediction that copies the current state."""
+    states = page_pairs(t).select("page_id", F.col("html").alias("current"), F.col("following").alias("truth"))
+    true = trees.paired(states, "page_id", "current", "truth")
+    return trees.state_diff(true, trees.paired(states, "page_id", "current", "current"), true)
+
+
+@query("flt05_copy_bias")
+def flt05(t):
+    return trees.changing(trees.changes(trees.paired(page_pairs(t), "page_id", "html", "following")))
 
 
 @query("fn59_element_lines")
 def fn59(t):
-    return t["pages"].select("page_id", F.size(udfs.element_lines("html")).alias("n_lines"))
+    return t["pages"].select("page_id", udfs.element_lines("html").alias("lines")).withColumn("n_lines", F.size("lines"))
 
 
 @query("str01_page_identity")
