@@ -135,12 +135,20 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as epochs take it; the document at a cut is taken whole."""
+    """The rows of ``docs``, each as often as epochs take it; the last copy of the document at a leaf's cut ends at the cut.
+
+    Its text keeps its first tokens with the white space before them, and an integer column n_chars is set anew there.
+    """
     mix = mix or Mix()
-    names = docs.columns
-    lean = docs.select(*(c for c in ("doc_id", "text", "lang", "source")))
-    held = docs.select(F.struct(*names).alias("row"), "doc_id", "text", "lang", "source")
-    return shares(held, mix, plan(lean, mix)).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
+    held = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source")
+    taken = shares(held, mix, plan(docs.select("doc_id", "text", "lang", "source"), mix)).where("copies > 0")
+    copies = taken.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+    ends = (F.col("copy") == F.col("copies")) & (F.col("key") == F.col("cut")) & (F.col("cut_tokens") < F.col("n_tokens"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.col("cut_tokens").cast("int")), "")
+    changed = {"text": F.when(ends, cut).otherwise(F.col("row.text"))}
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        changed["n_chars"] = F.when(ends, F.length(cut).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return copies.select(*(changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _pour_sql(source: str, parent: str, child: str, out: str) -> str:

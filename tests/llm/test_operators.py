@@ -430,6 +430,44 @@ def test_neighbours_recall_among_near_copies(spark, noise):
     assert hit >= 0.9 * 5 * 30
 
 
+def test_mixed_documents_end_at_the_cut(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    told = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    assert len(told) == docs.count()
+    found, whole = {}, {r.doc_id: r.text for r in docs.collect()}
+    for r in mixing.mixed_documents(docs).collect():
+        found.setdefault(r.doc_id, []).append(r)
+        assert whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    assert {i: sum(tokens(r.text) for r in x) for i, x in found.items() if told[i].n_tokens} == {i: r.taken_tokens for i, r in told.items() if r.copies and r.n_tokens}
+    assert any(tokens(x[-1].text) < told[i].n_tokens for i, x in found.items())
+
+
+def test_pipeline_runs_to_the_end(spark):
+    """run() against a plain twin; the trained toxicity stage and the mix are taken from their own operators."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity.predicted(docs, labels).where("predicted = 1").collect()}
+    by_text = {}
+    for r in docs.collect():
+        if r.doc_id not in toxic:
+            key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+            by_text[key] = max(r.doc_id, by_text.get(key, r.doc_id))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    alone = {i for i, (_, c) in brute_components([(i, texts[i]) for i in by_text.values()], 5, 80).items() if i == c}
+    mixed = mixing.mixed_documents(docs.where(docs.doc_id.isin(list(alone)))).collect()
+    lib = Tokenizer.from_file(registry.word_vocabulary())
+    expected = []
+    for r in mixed:
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        expected.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()]
+    assert toxic and len(alone) < len(by_text) < len(texts) and sorted(got) == sorted(expected)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
