@@ -16,7 +16,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_documents(docs, exact_dedup.fresh_index(spark))
+    index = exact_dedup.fresh_index(spark)
+    kept = exact_dedup.kept_documents(docs, index)
+    index.drop()  # an index of one run; what stays reads tables written beside it
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
