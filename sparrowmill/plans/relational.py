@@ -21,9 +21,6 @@ SELECT k, min_by(v, priority) AS v FROM (
 # --- filters ---
 sql_query("flt01_length_filter", """
 SELECT doc_id, n_chars FROM {documents} WHERE n_chars IS NULL OR n_chars <= 2000""")
-sql_query("flt01_dropped_report", """
-SELECT min(n_chars) AS least, max(n_chars) AS most, max(CASE WHEN rn = n // 2 + 1 THEN n_chars END) AS p50, count(*) AS dropped FROM (
-  SELECT n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS rn, count(*) OVER () AS n FROM {documents} WHERE n_chars > 2000) d""".replace("n // 2", "CAST(floor(n / 2) AS BIGINT)"))
 sql_query("flt02_pool_length_filter", """SELECT doc_id, coalesce(n_chars, -1) AS length FROM {documents} WHERE coalesce(n_chars, 1000000000) <= 1500""")
 sql_query("flt06_exclude_action_type", """SELECT event_id, event_type FROM {events} WHERE event_type IS DISTINCT FROM 'click'""")
 sql_query("flt10_no_op_transitions", """
@@ -41,24 +38,14 @@ SELECT user_id, avg(CASE WHEN abs(value) <= 1 THEN 1.0 ELSE 0.0 END) >= 0.9 AS u
 FROM {events} WHERE value IS NOT NULL GROUP BY user_id""")
 
 # --- joins ---
-sql_query("jn01_route_by_app", """
-SELECT c.c_custkey, CASE WHEN n.n_name IS NULL OR trim(n.n_name) = '' THEN 'null' WHEN n.n_regionkey IN (0, 1, 2) THEN 'id' WHEN n.n_regionkey = 3 THEN 'ood' ELSE 'null' END AS pool
-FROM {customer} c LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey""")
 sql_query("jn02_app_groups", """
 SELECT n.n_name AS app, count(*) AS n_rows, count(DISTINCT c.c_custkey) AS n_episodes FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name""")
 sql_query("jn03_mirror", """
 SELECT o.o_orderkey, l.l_partkey, l.l_quantity FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey AND l.l_linenumber = 1""")
 sql_query("jn03_unmatched", """
 SELECT count(*) AS n_unmatched FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL""")
-sql_query("jn04_positional_pairs", """
-WITH g AS (SELECT row_number() OVER (ORDER BY event_id) AS row_id, event_type AS gt FROM {events} WHERE event_id % 2 = 0),
-p AS (SELECT row_number() OVER (ORDER BY event_id) AS row_id, event_type AS predict FROM {events} WHERE event_id % 2 = 1)
-SELECT g.row_id, gt, predict, gt = predict AS same FROM g JOIN p ON g.row_id = p.row_id""")
 sql_query("jn06_gain", """
 SELECT d.source, avg(m.quality - b.toxic) AS gain, count(m.quality - b.toxic) AS n_gain FROM {documents} d JOIN {labels} m ON d.doc_id = m.doc_id JOIN {labels} b ON d.doc_id = b.doc_id GROUP BY d.source""")
-sql_query("jn07_test_key_exclusion", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'id' WHEN o_orderkey % 10 = 1 THEN 'ood' ELSE 'train' END AS part FROM {orders}
-WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')""")
 sql_query("jn11_activity_fallback", """
 SELECT e.event_id, coalesce(nullif(CASE WHEN e.event_id % 3 = 0 THEN '' ELSE e.event_type END, ''), f.fallback, 'unknown') AS activity
 FROM {events} e LEFT JOIN (SELECT user_id, max(event_type) AS fallback FROM {events} GROUP BY user_id) f ON e.user_id = f.user_id""")
@@ -153,9 +140,6 @@ b AS (SELECT *, sum(CASE WHEN seen = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY use
 SELECT event_id, row_number() OVER (PARTITION BY user_id, island, event_type ORDER BY event_id) AS repeats FROM b""")
 sql_query("win10_observation_numbers", """
 SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS observation_num, min(event_id) OVER (PARTITION BY event_type) AS first_seen FROM {events}""")
-sql_query("win11_round_robin", """
-SELECT o_orderkey, row_number() OVER (ORDER BY rn, ep_rnd, o_orderkey) AS place FROM (
-  SELECT o_orderkey, md5(concat('11|', CAST(o_custkey AS STRING))) AS ep_rnd, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(concat('11|', CAST(o_orderkey AS STRING)))) AS rn FROM {orders}) a""".replace("AS STRING", "AS VARCHAR(99)"))
 sql_query("win12_app_budget", """
 WITH a AS (SELECT c_nationkey AS app, count(*) AS n FROM {customer} GROUP BY c_nationkey),
 b AS (SELECT app, n, sum(n) OVER (ORDER BY md5(concat('12|', CAST(app AS VARCHAR(99)))), app ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS ahead, sum(n) OVER () AS total FROM a)
@@ -167,8 +151,6 @@ SELECT event_id, count(value) OVER w = 7 AND max(abs(value)) OVER w < 50 AS stab
 sql_query("set01_first_of_each_signature", """
 SELECT conv_id, turn, signature FROM (SELECT conv_id, turn, md5(concat(role, '|', text)) AS signature, row_number() OVER (PARTITION BY md5(concat(role, '|', text)) ORDER BY conv_id, turn) AS rn FROM {conversations}) s WHERE rn = 1""")
 sql_query("set04_disjoint", """SELECT o_orderkey FROM {orders} EXCEPT SELECT o_orderkey FROM {orders} WHERE o_orderkey % 5 = 0""")
-sql_query("set05_union_shuffle", """
-SELECT k, kind, row_number() OVER (ORDER BY md5(concat('5|', kind, CAST(k AS VARCHAR(99)))), k) AS place FROM (SELECT o_orderkey AS k, 'state' AS kind FROM {orders} UNION ALL SELECT c_custkey, 'action' FROM {customer}) u""")
 sql_query("set06_leakage", """SELECT count(*) AS n_leaked FROM (SELECT text FROM {benchmark} INTERSECT SELECT text FROM {documents}) i""")
 sql_query("set08_reconcile", """
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'orphan' WHEN b.k IS NULL THEN 'missing' WHEN a.v = b.v THEN 'same' ELSE 'diff' END AS state
@@ -181,9 +163,6 @@ r AS (SELECT *, row_number() OVER (ORDER BY frac DESC, kind) AS rn, 100 - sum(ba
 SELECT kind, n, CAST(base + CASE WHEN rn <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
 sql_query("top03_best_candidate", """SELECT user_id, max_by(event_type, event_id) AS latest, max(event_id) AS at FROM {events} GROUP BY user_id""")
 sql_query("top07_capped_list", """SELECT user_id, least(count(*), 100) AS shown, greatest(count(*) - 100, 0) AS more FROM {events} GROUP BY user_id""")
-RANKED = "row_number() OVER (ORDER BY md5(concat('{seed}|', CAST(o_orderkey AS VARCHAR(99)))), o_orderkey)"
-sql_query("smp01_random_split", f"""SELECT o_orderkey, rn <= floor(n * 0.9) AS train FROM (SELECT o_orderkey, {RANKED.replace("{seed}", "1")} AS rn, count(*) OVER () AS n FROM {{orders}}) a""")
-sql_query("smp02_random_subsample", f"""SELECT o_orderkey FROM (SELECT o_orderkey, {RANKED.replace("{seed}", "2")} AS rn FROM {{orders}}) a WHERE rn <= 500""")
 sql_query("smp03_stratified_subsample", """
 WITH c AS (SELECT o_orderpriority AS kind, count(*) AS n, sum(count(*)) OVER () AS total FROM {orders} GROUP BY o_orderpriority),
 q AS (SELECT kind, floor(300.0 * n / total) AS base, row_number() OVER (ORDER BY 300.0 * n / total - floor(300.0 * n / total) DESC, kind) AS rn, 300 - sum(floor(300.0 * n / total)) OVER () AS spare FROM c),
@@ -192,11 +171,6 @@ SELECT o.o_orderkey, o.kind FROM o JOIN q ON o.kind = q.kind WHERE o.rn <= q.bas
 sql_query("smp06_disjoint_double", """
 SELECT o_orderkey, CASE WHEN rn <= 20 THEN 'downstream' ELSE 'state' END AS part FROM (
   SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(concat('6|', CAST(o_orderkey AS VARCHAR(99)))), o_orderkey) AS rn FROM {orders}) a WHERE rn <= 50""")
-sql_query("smp09_ratio_mix", """
-WITH s AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY md5(concat('9|', CAST(o_orderkey AS VARCHAR(99)))), o_orderkey) AS rn FROM {orders}),
-a AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY md5(concat('9|', CAST(c_custkey AS VARCHAR(99)))), c_custkey) AS rn FROM {customer})
-SELECT 'state' AS kind, k FROM s WHERE rn <= 70 UNION ALL SELECT 'action', k FROM a WHERE rn <= 30""")
-
 # --- small operators ---
 sql_query("str04_signal_collapse", """
 WITH a AS (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {events})
@@ -204,9 +178,6 @@ SELECT user_id, run, max(event_id) AS last_event, count(*) AS drained FROM a GRO
 sql_query("str05_gap_timeouts", """
 SELECT event_id, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '1' HOUR, false) AS timed_out FROM {events}""")
 sql_query("str07_resume_frame", """SELECT user_id, max(event_id) + 1 AS next_frame FROM {events} GROUP BY user_id""")
-sql_query("grf08_unexplored_actions", """
-SELECT a.user_id, a.event_type FROM (SELECT DISTINCT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM {events}) u CROSS JOIN (SELECT DISTINCT event_type FROM {events}) t) a
-LEFT JOIN (SELECT DISTINCT user_id, event_type FROM {events}) e ON a.user_id = e.user_id AND a.event_type = e.event_type WHERE e.user_id IS NULL""")
 sql_query("grf04_latest_destination", """
 WITH e AS (SELECT event_id, event_type AS dst, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, event_id % 5 AS act FROM {events}),
 l AS (SELECT src, act, max_by(dst, event_id) AS dst FROM e WHERE src IS NOT NULL GROUP BY src, act)
