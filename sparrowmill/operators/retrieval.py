@@ -13,7 +13,10 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, place) of the k best documents that share a term; a repeated query term counts each time."""
+    """(query, doc, score, place) of the k best documents; a repeated query term counts each time.
+
+    Documents that share no term score 0 and follow in order of their keys: of the first k keys enough are left for any query.
+    """
     post = postings(docs, key, text)
     sizes = docs.select(F.col(key).alias("doc"), F.size(words(F.col(text))).alias("size"))
     whole = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
@@ -24,4 +27,8 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     joined = asked.join(df, "term").join(post, "term").join(sizes, "doc").crossJoin(F.broadcast(whole))
     scored = joined.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    first = [r.doc for r in docs.select(F.col(key).alias("doc")).distinct().orderBy("doc").limit(k).collect()]  # k keys
+    spare = queries.select(F.col(query_key).alias("query"), F.explode(F.array(*map(F.lit, first))).alias("doc")).distinct() if first else best.select("query", "doc").limit(0)
+    filled = best.unionByName(spare.join(best.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0)))
+    return filled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

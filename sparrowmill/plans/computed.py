@@ -185,8 +185,9 @@ def agg27(t):
 @query("top01_bm25", f"""WITH w AS (SELECT item_id AS doc, {WORDS.format('text')} AS ws FROM benchmark), s AS (SELECT doc, len(ws) AS size FROM w), n AS (SELECT count(*) AS n, avg(size) AS mean FROM s),
   p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM w) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
   q AS (SELECT query, term, count(*) AS times FROM (SELECT conv_id * 100 + turn AS query, unnest({WORDS.format('text')}) AS term FROM conversations) GROUP BY ALL),
-  j AS (SELECT query, p.doc, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN s USING (doc) CROSS JOIN n GROUP BY ALL)
-  SELECT query, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM j) WHERE place <= 5""")
+  j AS (SELECT query, p.doc, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN s USING (doc) CROSS JOIN n GROUP BY ALL),
+  a AS (SELECT query, doc, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT conv_id * 100 + turn AS query FROM conversations) x CROSS JOIN (SELECT DISTINCT doc FROM s) y LEFT JOIN j USING (query, doc))
+  SELECT query, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM a) WHERE place <= 5""")
 def top01(t):
     asked = t["conversations"].select((F.col("conv_id") * 100 + F.col("turn")).alias("q"), "text")
     return retrieval.bm25(t["benchmark"], "item_id", "text", asked, "q", "text", 5)

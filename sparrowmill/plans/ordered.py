@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import sampling
+from sparrowmill.operators import progress, routes, sampling
 from sparrowmill.plans.registry import query
 
 
@@ -81,3 +82,58 @@ def grf08_unexplored_actions(t):
     """A user's page offers the actions seen there; those of value 20 or more count as tried."""
     events = t["events"]
     return sampling.untried(events.select("user_id", "event_type"), events.where("value >= 20").select("user_id", "event_type"))
+
+
+@query("win05_running_coverage", """
+WITH f AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS fresh FROM events),
+r AS (SELECT user_id, event_id, count(*) FILTER (fresh) OVER w AS visited, 2 + count(*) FILTER (fresh AND event_type NOT IN ('click', 'view', 'error')) OVER w AS total FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, visited, total, round(least(1.0, visited / greatest(total, 1)), 4) AS coverage FROM r""")
+def win05_running_coverage(t):
+    """Two names are declared; all others but errors are the session's own and make the total grow."""
+    return progress.running_coverage(t["events"], "user_id", "event_id", "event_type", ("click", "view"), F.col("event_type") != "error")
+
+
+@query("win09_repeats_since_new_page")
+def win09_repeats_since_new_page(t):
+    rows = t["events"].withColumn("k", F.get_json_object("props", "$.k").cast("bigint") % 2)
+    return progress.repeats(rows, "user_id", "event_id", "event_type", "k", trip=4)
+
+
+@query("win14_stable_frames", """
+WITH s AS (SELECT user_id, event_id, value, event_type, count(value) OVER w = 7 AND max(value) OVER w < 50 AS stable, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, coalesce(stable, false) AS stable, (len(seen) >= 3 AND seen[-1] = seen[-2] AND seen[-2] = seen[-3])
+  OR (len(seen) >= 6 AND seen[-1] = seen[-3] AND seen[-3] = seen[-5] AND seen[-2] = seen[-4] AND seen[-4] = seen[-6])
+  OR (len(seen) >= 9 AND seen[-3:] = seen[-6:-4] AND seen[-6:-4] = seen[-9:-7]) AS oscillates FROM s""")
+def win14_stable_frames(t):
+    return progress.steadiness(t["events"], "user_id", "event_id", "value", "event_type", below=50.0)
+
+
+@query("top03_best_candidate", """
+SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY novel DESC, prior DESC, md5(concat('3|', event_type)) DESC) AS rn FROM (
+  SELECT user_id, event_type, -count(*) AS novel, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 0 END AS prior FROM events GROUP BY user_id, event_type) c) r WHERE rn = 1""")
+def top03_best_candidate(t):
+    """The action that a user has done least, then by the prior of its type."""
+    seen = t["events"].groupBy("user_id", "event_type").agg((-F.count("*")).alias("novel"))
+    prior = F.when(F.col("event_type") == "click", 3).when(F.col("event_type") == "view", 2).otherwise(0)
+    return progress.best_candidates(seen, "user_id", "event_type", [F.col("novel"), prior], "3")
+
+
+def moves(t):
+    """Moves of all users in one order of events: from the page before, by one of five elements."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = t["events"].withColumn("src", before)
+    return rows.select("src", (F.col("event_id") % 5).cast("string").alias("signature"), F.lit("tap").alias("action"), F.col("event_type").alias("dst"), F.col("event_id").alias("seq"))
+
+
+LATEST = """WITH e AS (SELECT event_id, event_type AS dst, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, CAST(event_id % 5 AS VARCHAR) AS act FROM events),
+l AS (SELECT src, act, max_by(dst, event_id) AS dst FROM e WHERE src IS NOT NULL GROUP BY src, act)"""
+
+
+@query("grf04_latest_destination", f"{LATEST} SELECT src, dst, count(*) AS n_actions, min(act) AS signature, 'tap' AS action FROM l WHERE src <> dst GROUP BY src, dst")
+def grf04_latest_destination(t):
+    return routes.latest_edges(moves(t))
+
+
+@query("grf05_shortest_routes")
+def grf05_shortest_routes(t):
+    return routes.shortest_routes(routes.latest_edges(moves(t)), "click")

@@ -121,10 +121,6 @@ SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_i
 sql_query("win04_edges_from_frame_before", """
 WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + CASE WHEN event_id % 11 = 0 THEN 1000 ELSE 0 END AS frame FROM {events})
 SELECT a.user_id, a.frame, coalesce(b.event_type, 'unknown') AS action FROM f a LEFT JOIN f b ON a.user_id = b.user_id AND b.frame = a.frame - 1""")
-sql_query("win05_running_coverage", """
-SELECT user_id, event_id, visited, least(1.0, visited / CAST(greatest(total, 1) AS DOUBLE)) AS coverage FROM (
-  SELECT user_id, event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visited, 5 AS total FROM (
-    SELECT user_id, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM {events}) a) b""")
 sql_query("win06_running_cost", """
 SELECT l_orderkey, l_linenumber, l_partkey, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {lineitem}""")
 sql_query("win07_same_page_streak", """
@@ -134,18 +130,12 @@ sql_query("win08_steps_since_new_page", """
 WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seen FROM {events}),
 b AS (SELECT *, max(CASE WHEN seen = 1 THEN step END) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_new FROM a)
 SELECT event_id, step - last_new AS idle, step - last_new >= 98 AS stop FROM b""")
-sql_query("win09_repeats_since_new_page", """
-WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seen FROM {events}),
-b AS (SELECT *, sum(CASE WHEN seen = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM a)
-SELECT event_id, row_number() OVER (PARTITION BY user_id, island, event_type ORDER BY event_id) AS repeats FROM b""")
 sql_query("win10_observation_numbers", """
 SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS observation_num, min(event_id) OVER (PARTITION BY event_type) AS first_seen FROM {events}""")
 sql_query("win12_app_budget", """
 WITH a AS (SELECT c_nationkey AS app, count(*) AS n FROM {customer} GROUP BY c_nationkey),
 b AS (SELECT app, n, sum(n) OVER (ORDER BY md5(concat('12|', CAST(app AS VARCHAR(99)))), app ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS ahead, sum(n) OVER () AS total FROM a)
 SELECT app, n, ahead < total * 0.2 AS ood FROM b""")
-sql_query("win14_stable_frames", """
-SELECT event_id, count(value) OVER w = 7 AND max(abs(value)) OVER w < 50 AS stable FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 
 # --- sets, top-k, sampling ---
 sql_query("set01_first_of_each_signature", """
@@ -161,7 +151,6 @@ WITH c AS (SELECT o_orderpriority AS kind, count(*) AS n, sum(count(*)) OVER ()
 q AS (SELECT kind, n, floor(100.0 * n / total) AS base, 100.0 * n / total - floor(100.0 * n / total) AS frac FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY frac DESC, kind) AS rn, 100 - sum(base) OVER () AS spare FROM q)
 SELECT kind, n, CAST(base + CASE WHEN rn <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
-sql_query("top03_best_candidate", """SELECT user_id, max_by(event_type, event_id) AS latest, max(event_id) AS at FROM {events} GROUP BY user_id""")
 sql_query("top07_capped_list", """SELECT user_id, least(count(*), 100) AS shown, greatest(count(*) - 100, 0) AS more FROM {events} GROUP BY user_id""")
 sql_query("smp03_stratified_subsample", """
 WITH c AS (SELECT o_orderpriority AS kind, count(*) AS n, sum(count(*)) OVER () AS total FROM {orders} GROUP BY o_orderpriority),
@@ -178,10 +167,6 @@ SELECT user_id, run, max(event_id) AS last_event, count(*) AS drained FROM a GRO
 sql_query("str05_gap_timeouts", """
 SELECT event_id, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '1' HOUR, false) AS timed_out FROM {events}""")
 sql_query("str07_resume_frame", """SELECT user_id, max(event_id) + 1 AS next_frame FROM {events} GROUP BY user_id""")
-sql_query("grf04_latest_destination", """
-WITH e AS (SELECT event_id, event_type AS dst, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, event_id % 5 AS act FROM {events}),
-l AS (SELECT src, act, max_by(dst, event_id) AS dst FROM e WHERE src IS NOT NULL GROUP BY src, act)
-SELECT src, dst, count(*) AS n_actions FROM l WHERE src <> dst GROUP BY src, dst""")
 sql_query("msc01_layout", """
 SELECT conv_id, CASE WHEN max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) = 1 THEN 'state' WHEN count(*) > 4 THEN 'stage2' ELSE 'action' END AS layout FROM {conversations} GROUP BY conv_id""")
 sql_query("msc05_element_info", """SELECT event_id, CASE WHEN event_id % 4 > 0 THEN concat('element_', CAST(event_id % 4 AS VARCHAR(99))) ELSE event_type END AS info FROM {events}""")
