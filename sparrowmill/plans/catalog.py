@@ -1,6 +1,6 @@
 """All queries over the reference's operators."""
 
-from sparrowmill.plans import computed, flagship, ledgers, ordered, parsing, relational, scored, screened  # noqa: F401
+from sparrowmill.plans import computed, flagship, ledgers, ordered, parsing, relational, scored, screened, weighted  # noqa: F401
 from sparrowmill.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = flagship.FLAGSHIP
