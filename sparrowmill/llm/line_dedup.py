@@ -4,7 +4,7 @@ Lines are word sequences (white space apart, A-Z read as a-z); two lines are nea
 replaced makes them equal. Lines are ordered by (doc_id, number in the document), and a line goes when an equal or near
 line stands before it; lines of fewer than ``MIN_WORDS`` words go only for an equal one.
 
-Equal lines are grouped by hash first. A sieve then spares most lines the neighbourhood: of two near lines of m and m or
+Equal lines are grouped by a 128-bit digest of their words first. A sieve then spares most lines the neighbourhood: of two near lines of m and m or
 m + 1 words, the first or the last m // 2 words agree, so only lines that share such a half with another distinct line go
 on. Their first occurrences are found again through a bit filter sized by their count, or beyond ``FILTER_LINES`` of them by
 a join with their documents; what a filter lets through besides costs work and changes nothing. They emit their variants
@@ -21,6 +21,7 @@ empty table gives no rows; columns of documents named n_lines or n_dropped give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.scratch import Scratch
-from sparrowmill.llm.shingles import MIX, mixed, powers, texts, word_hashes
+from sparrowmill.llm.shingles import LOWER, MIX, SPACE, Sums, mixed, texts, word_hashes
 
 MIN_WORDS = 5
 #: first occurrences up to which a bit filter (64 MB at most) finds them; 32 bits for each, two of which are set
@@ -54,35 +55,36 @@ class Lines:
         self.at = np.searchsorted(starts, begins)
         self.words = np.diff(np.r_[self.at, len(starts)])
         self.begins, self.ends, self.bytes = begins, ends, spaced
-        up, self.down = powers(len(self.hashes) + 1)
-        self.sums = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * up[: len(self.hashes)], out=self.sums[1:])
-
-    def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Plain hash of the words from a up to b."""
-        return (self.sums[b] - self.sums[a]) * self.down[a]
+        self.sums = Sums(self.hashes)
 
     def key(self, plain: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
-        return mixed(plain + n.astype(np.uint64) * MIX[0] + np.uint64(kind * int(MIX[1]) % (1 << 64))).view(np.int64)
+        """A key of both remainders of n words; lines that it takes for alike are compared word by word later."""
+        both = plain[0] << np.uint64(31) | plain[1]
+        return mixed(both + n.astype(np.uint64) * MIX[0] + np.uint64(kind * int(MIX[1]) % (1 << 64))).view(np.int64)
 
     def own(self) -> np.ndarray:
-        return self.key(self.part(self.at, self.at + self.words), self.words, 0)
+        return self.key(self.sums.part(self.at, self.at + self.words), self.words, 0)
+
+    def digests(self, lines: np.ndarray) -> np.ndarray:
+        """The ``digest`` of each of the lines (with one word or more) as two 64-bit numbers."""
+        space = SPACE[self.bytes]
+        kept = ~space | np.r_[False, ~space[:-1]]  # words and one byte behind each
+        plain, after = np.where(space, np.uint8(32), LOWER[self.bytes])[kept].tobytes(), np.r_[0, np.cumsum(kept)]
+        cuts = zip(after[self.begins[lines]].tolist(), after[self.ends[lines] + 1].tolist(), strict=True)
+        found = b"".join(blake2b(plain[a:b].strip(b" "), digest_size=16).digest() for a, b in cuts)
+        return np.frombuffer(found, np.int64).reshape(-1, 2)
 
     def halves(self) -> np.ndarray:
         """Four keys for each line: first and last m // 2 and (m - 1) // 2 words."""
         out = []
         for b in (self.words // 2, np.maximum(self.words - 1, 0) // 2):
-            out += [self.key(self.part(self.at, self.at + b), b, 1), self.key(self.part(self.at + self.words - b, self.at + self.words), b, 2)]
+            out += [self.key(self.sums.part(self.at, self.at + b), b, 1), self.key(self.sums.part(self.at + self.words - b, self.at + self.words), b, 2)]
         return np.column_stack(out)
 
     def variants(self, line: int) -> np.ndarray:
         """Hashes of the line with each word deleted, equal to ``own`` of a line that reads so."""
-        a, m = self.at[line], self.words[line]
-        k = a + np.arange(m)
-        up, _ = powers(len(self.hashes) + 1)
-        head = self.part(np.full(m, a), k)
-        tail = self.part(k + 1, np.full(m, a + m)) * up[np.arange(m)]
-        return self.key(head + tail, np.full(m, m - 1), 0)
+        m = self.words[line]
+        return self.key(self.sums.without(self.at[line], m), np.full(m, m - 1), 0)
 
     def text(self, line: int) -> str:
         return self.bytes[self.begins[line] : self.ends[line]].tobytes().decode("utf-8", "replace")
@@ -102,19 +104,19 @@ HALVES = ("half0", "half1", "half2", "half3")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, number, h, halves) of each line that isn't blank; halves are null for fewer than MIN_WORDS words."""
+    """(doc_id, number, h, h2, halves) of each line that isn't blank; h and h2 are its digest, halves are null for fewer than MIN_WORDS words."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for x in lines_of(batch.column(1)):
                 keep = np.flatnonzero(x.words > 0)
-                own, halves, short = x.own()[keep], x.halves()[keep], x.words[keep] < MIN_WORDS
+                own, halves, short = x.digests(keep), x.halves()[keep], x.words[keep] < MIN_WORDS
                 doc, number = ids[x.row[keep]], x.number[keep]
-                columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(own, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(halves[:, k], pa.int64(), mask=short) for k in range(4)], ["doc_id", "number", "h", *HALVES])
+                columns = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(own[:, k], pa.int64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(halves[:, k], pa.int64(), mask=short) for k in range(4)], ["doc_id", "number", "h", "h2", *HALVES])
 
-    return docs.mapInArrow(run, "doc_id bigint, number int, h bigint, " + ", ".join(f"{c} bigint" for c in HALVES))
+    return docs.mapInArrow(run, "doc_id bigint, number int, h bigint, h2 bigint, " + ", ".join(f"{c} bigint" for c in HALVES))
 
 
 class BitFilter:
@@ -181,6 +183,11 @@ def low_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def digest(words: list[bytes]) -> bytes:
+    """128 bits that tell lines apart: of the words with one blank between them."""
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def wanted_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """The neighbourhoods of the distinct lines that share a half with another."""
     halves = F.array_distinct(F.array(*HALVES))
@@ -200,8 +207,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines = scratch.keep(hashed(known), "lines")
     line = F.struct("doc_id", "number")
-    distinct = lines.groupBy("h").agg(F.min(line).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in HALVES))
-    distinct = scratch.keep(distinct.select("h", "first.doc_id", "first.number", "k", *HALVES).mapInArrow(placed, "h bigint, doc_id bigint, number int, k bigint, place bigint, " + ", ".join(f"{c} bigint" for c in HALVES)), "distinct")
+    distinct = lines.groupBy("h", "h2").agg(F.min(line).alias("first"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in HALVES))
+    distinct = scratch.keep(distinct.select("h", "h2", "first.doc_id", "first.number", "k", *HALVES).mapInArrow(placed, "h bigint, h2 bigint, doc_id bigint, number int, k bigint, place bigint, " + ", ".join(f"{c} bigint" for c in HALVES)), "distinct")
     rows = scratch.keep(wanted_lines(known, distinct, scratch), "variants")
     by_place = rows.groupBy("v", "i").agg(F.min(line).alias("e"), F.count("*").alias("k"))
     by_variant = by_place.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("e"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("e"))).alias("cut"), F.sum("k").alias("k")).where("k > 1")
@@ -209,28 +216,31 @@ def dropped(docs: DataFrame) -> DataFrame:
     met = rows.select("v", "i", "doc_id", "number").join(best, ["v", "i"]).where(F.col("best") < line)
     pairs = met.groupBy("doc_id", "number").agg(F.min("best").alias("best")).select("doc_id", "number", F.col("best.doc_id").alias("to_doc"), F.col("best.number").alias("to_number"))
     pairs = scratch.keep(pairs, "pairs")
-    words = rows.where("i = -1").groupBy("doc_id", "number").agg(F.min(F.struct(F.col("v").alias("h"), "text")).alias("x")).select("doc_id", "number", "x.h", "x.text")
+    words = rows.where("i = -1").groupBy("doc_id", "number").agg(F.min(F.struct("v", "text")).alias("x")).select("doc_id", "number", "x.text")
     theirs = words.select(F.col("doc_id").alias("to_doc"), F.col("number").alias("to_number"), F.col("text").alias("to_text"))
     both = pairs.join(words, ["doc_id", "number"]).join(theirs, ["to_doc", "to_number"])
 
     def verify(batches):
         for batch in batches:
-            ok = [near(low_words(a), low_words(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield batch.select(["h", "doc_id", "number"]).filter(pa.array(ok, pa.bool_()))
+            pairs = [(low_words(a), low_words(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [near(a, b) for a, b in pairs]
+            found = np.frombuffer(b"".join(digest(a) for (a, _), yes in zip(pairs, ok, strict=True) if yes), np.int64).reshape(-1, 2)
+            stay = batch.select(["doc_id", "number"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), *stay.columns], ["h", "h2", "doc_id", "number"])
 
-    told = both.select("h", "doc_id", "number", "text", "to_text").mapInArrow(verify, "h bigint, doc_id bigint, number int").distinct()
+    told = both.select("doc_id", "number", "text", "to_text").mapInArrow(verify, "h bigint, h2 bigint, doc_id bigint, number int").distinct()
     # a filter may have let later copies through, whose neighbour is their first occurrence: only that one speaks for a line
     late = told.withColumn("late", F.lit(True))
-    kept = distinct.select("h", "doc_id", "number", "k").join(late, ["h", "doc_id", "number"], "left").where("k > 1 OR late")
-    kept = scratch.keep(kept.select("h", F.col("doc_id").alias("first_doc"), F.col("number").alias("first_number"), "late"), "kept")
-    return lines.select("doc_id", "number", "h").join(kept, "h").where("late OR NOT (doc_id = first_doc AND number = first_number)").select("doc_id", "number").distinct()
+    kept = distinct.select("h", "h2", "doc_id", "number", "k").join(late, ["h", "h2", "doc_id", "number"], "left").where("k > 1 OR late")
+    kept = scratch.keep(kept.select("h", "h2", F.col("doc_id").alias("first_doc"), F.col("number").alias("first_number"), "late"), "kept")
+    return lines.select("doc_id", "number", "h", "h2").join(kept, ["h", "h2"]).where("late OR NOT (doc_id = first_doc AND number = first_number)").select("doc_id", "number").distinct()
 
 
 def placed(batches):
     """Rows with the place of their line put in."""
     for batch in batches:
-        at = place(batch.column(1).to_numpy(), batch.column(2).to_numpy())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(at, pa.int64()), *batch.columns[4:]], ["h", "doc_id", "number", "k", "place", *HALVES])
+        at = place(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(at, pa.int64()), *batch.columns[5:]], ["h", "h2", "doc_id", "number", "k", "place", *HALVES])
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 CHUNK = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[65:91] += np.uint64(32)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: stretches of up to this many bytes are hashed eight bytes at a time, longer ones by blake2b
+SHORT = 64
+_INSIDE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,23 +26,71 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power of 0..n and the inverses, modulo 2^64; kept for texts up to CHUNK bytes."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        inverse = pow(BASE, -1, 1 << 64)
-        _POWERS[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, 1 << 16), b, np.uint64)]) for b in (BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of a byte array. Every eight bytes are mixed before the next ones come in, so no pattern of bytes cancels out."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + MIX[1])
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    rows = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        rows = rows[size[rows] > at]
+        if not len(rows):
+            break
+        lane = lanes[starts[rows] + at].view("<u8")[:, 0] & _INSIDE[np.minimum(size[rows] - at, 8)]
+        out[rows] = mixed((out[rows] + MIX[0]) ^ lane)
+    for k in np.flatnonzero(size > SHORT):
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each stretch of true values."""
+    edge = np.diff(np.r_[False, inside, False].astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each white-space separated word of a byte array, with A-Z read as a-z."""
-    space = _SPACE[data]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts]), starts
+    starts, ends = runs(~SPACE[data])
+    return span_hashes(LOWER[data], starts, ends), starts
+
+
+#: two primes, as a running sum modulo 2^64 would take some different sequences for the same
+PRIMES = np.array([[2147483647], [2147483629]], np.uint64)
+BASES = (1103515245, 1566083941)
+
+
+class Sums:
+    """Hashes of any stretch of a sequence of 64-bit values, from running sums of powers modulo two primes."""
+
+    _powers = np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both bases to the power of 0..n and the inverses; kept for later sequences."""
+        up, down = cls._powers
+        while up.shape[1] <= n:
+            size = up.shape[1]
+            step = [np.array([[pow(b, e * size, int(p))] for b, p in zip(BASES, PRIMES[:, 0], strict=True)], np.uint64) for e in (1, -1)]
+            up, down = (np.concatenate([x, x * s % PRIMES], 1) for x, s in zip((up, down), step, strict=True))
+        cls._powers = up, down
+        return up, down
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.up, self.down = self.powers(n + 1)
+        self.sums = np.zeros((2, n + 1), np.uint64)
+        np.cumsum(values % PRIMES * self.up[:, :n] % PRIMES, axis=1, out=self.sums[:, 1:])
+
+    def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Both remainders of the values from a up to b."""
+        return (self.sums[:, b] - self.sums[:, a]) % PRIMES * self.down[:, a] % PRIMES
+
+    def without(self, a: int, m: int) -> np.ndarray:
+        """Both remainders of the m values from a on, once without each of them."""
+        k = a + np.arange(m)
+        head, tail = self.part(np.full(m, a), k), self.part(k + 1, np.full(m, a + m))
+        return (head + tail * self.up[:, np.arange(m)]) % PRIMES
 
 
 def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.scratch import Scratch
-from sparrowmill.llm.shingles import mixed, powers
+from sparrowmill.llm.shingles import runs, span_hashes
 
 LAMBDA, CELL, CHUNK, LONG = 0.6, 16, 1 << 19, 1 << 21
 FEATURES = 1 << 20
@@ -99,13 +99,8 @@ def parts(text: str) -> Iterator[str]:
 
 def words_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each run of letters."""
-    letter = (c > 0) & (c <= 26)
-    edge = np.diff(np.r_[False, letter, False].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers(len(c))
-    sums = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum(c * up[: len(c)], out=sums[1:])
-    return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts])
+    starts, ends = runs((c > 0) & (c <= 26))
+    return starts, ends, span_hashes(c, starts, ends)
 
 
 def subsequences(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
