@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowmill.llm import bpe, exact_dedup, html_extract, jaccard_join, language, line_dedup, mixing, neighbours, quality, toxicity
+from sparrowmill.llm import bpe, exact_dedup, html_extract, jaccard_join, language, lexical_search, line_dedup, mixing, neighbours, quality, toxicity, url_filter, vector_codes
 from sparrowmill.llm.scratch import read
 
 
@@ -59,5 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_bpe, op4_exact_dedup, op5_line_dedup, op6_html, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing)}
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.oracle()}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.searched(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(read(spark, sf_dir, "embeddings"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read(spark, sf_dir, "pages"))
+
+
+OPERATORS = (op1_quality, op2_neighbours, op3_bpe, op4_exact_dedup, op5_line_dedup, op6_html, op7_language, op8_toxicity, op9_jaccard_join, op10_mixing, op11_search, op12_codes, op13_urls)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.oracle(), "op11_search": lexical_search.oracle(), "op12_codes": vector_codes.oracle()}
