@@ -8,7 +8,8 @@ hundred-thousandth of the rows: there are 100,000 of these at most, which are br
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z only; of equal texts
 in a batch the largest doc_id stays (null ids lose to any id); a digest that is already indexed keeps its indexed id;
-rows that repeat a doc_id with the same text are one document and are reported alike; an empty batch gives no rows.
+rows that repeat a doc_id with the same text are one document and are reported alike; a batch that comes again under its name
+counts once; an empty batch gives no rows.
 Extra columns are ignored, whatever their names.
 """
 
@@ -45,10 +46,13 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, groups: DataFrame, batch: str) -> None:
-        """Add the groups (digest, keep_id, n_rows) whose digest isn't indexed yet, and the counts of the others under the id that is."""
-        known = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"))
+        """Add the groups (digest, keep_id, n_rows) whose digest isn't indexed yet, and the counts of the others under the id that is.
+
+        What the index already holds of this batch isn't added again, so a batch may be given again after a failure.
+        """
+        known = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.bool_or(F.col("batch") == batch).alias("counted"))
         new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti").select("digest", "keep_id", "n_rows")
-        again = groups.select("digest", "n_rows").hint("merge").join(known, "digest").select("digest", "keep_id", "n_rows")
+        again = groups.select("digest", "n_rows").hint("merge").join(known.where("NOT counted"), "digest").select("digest", "keep_id", "n_rows")
         self._write(new.unionByName(again).withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest"), "append")
 
     def drop(self) -> None:
@@ -59,18 +63,28 @@ class DigestIndex:
 LARGE = 100_000
 
 
-def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+def grouped(hashed: DataFrame) -> DataFrame:
+    return hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_rows"))
+
+
+def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None, largest_first: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; appends the batch to ``index``.
 
-    ``group_size`` counts the rows of this and all earlier batches.
+    ``group_size`` counts the rows of this and all earlier batches. With ``largest_first``, ``docs`` go in as two batches, that with
+    the larger half of the range of ids before the other, and are told about once both are in.
     """
     spark, batch = docs.sparkSession, batch or uuid.uuid4().hex
     scratch = Scratch(spark, "exact-dedup")
     hashed = scratch.keep(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "digests")
-    groups = scratch.keep(hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_rows")), "groups")
-    index.append(groups, batch)
-    known = index.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n_rows").alias("group_size"), F.every(F.col("batch") == batch).alias("new"))
-    sized = scratch.keep(groups.select("digest", "n_rows").hint("merge").join(known, "digest"), "sized")
+    batches = {batch: hashed}
+    if largest_first:
+        ends = hashed.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+        larger = F.coalesce(F.col("doc_id") > (None if ends.a is None else (ends.a + ends.b) // 2), F.lit(False))
+        batches = {f"{batch}-1": hashed.where(larger), f"{batch}-2": hashed.where(~larger)}
+    for name, rows in batches.items():
+        index.append(scratch.keep(grouped(rows), "groups"), name)
+    known = index.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n_rows").alias("group_size"), F.every(F.col("batch").isin(*batches)).alias("new"))
+    sized = scratch.keep(grouped(hashed).select("digest", "n_rows").hint("merge").join(known, "digest"), "sized")
     large = F.broadcast(sized.where(F.col("n_rows") > max(1000, hashed.count() // LARGE)))
     few = hashed.join(large, "digest")
     rest = hashed.join(large.select("digest"), "digest", "left_anti").join(sized.hint("merge"), "digest")

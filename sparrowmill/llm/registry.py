@@ -30,7 +30,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.fresh_index(spark)
-    out = exact_dedup.dedup(read(spark, sf_dir, "documents"), index)
+    out = exact_dedup.dedup(read(spark, sf_dir, "documents"), index, largest_first=True)
     index.drop()  # an index of one run; the result reads what was written beside it
     return out
 
