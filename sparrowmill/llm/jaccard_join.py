@@ -202,7 +202,7 @@ def spanned(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     column, owner = column[keep], owner[keep]
     renumber = np.cumsum(count > 1) - 1
     column = renumber[column]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    overlap = np.zeros((len(sets), len(sets)))  # doubles add up whole numbers exactly
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     width = 4096
@@ -211,7 +211,7 @@ def spanned(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         part = np.zeros((len(sets), width), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
         overlap += part @ part.T
-    link = linked(overlap.astype(np.int32), n.astype(np.int32)[:, None], n.astype(np.int32)[None, :], percent)
+    link = linked(overlap.astype(np.int64), n.astype(np.int64)[:, None], n.astype(np.int64)[None, :], percent)
     link[np.ix_(guest, guest)] = False  # two visitors meet in a group of their own
     label = components(link)
     far = label != np.arange(len(sets))
