@@ -20,7 +20,7 @@ subsequence, which makes scoring a word a sum of table lookups.
 Scoring reads whole texts in tasks, each distinct word of a portion once; a document is judged by the decisions of its three
 worst words, by how many of its distinct words lie on the toxic side, and by how many it has, mapped to 0..1 by a logistic
 curve fitted on the sample: a long clean text may hold one odd word by chance. Texts of over LONG characters are laid out in
-parts; a word without a blank for thousands of characters, or a run of single letters, may be cut there.
+parts, cut between two words alone.
 
 Defined cases: null and empty texts score as a text without any word (the lowest score); labels that are null are not
 learned from; a doc_id labelled twice counts as toxic if one label says so; without labelled rows of both classes every
@@ -29,6 +29,7 @@ score is 0; an empty table gives no rows; repeated rows score alike; columns oth
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -87,12 +88,16 @@ def normal_form(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return keep(c, ends, ~((c == BLANK) & np.r_[False, alone[:-1]] & np.r_[alone[1:], False]))
 
 
+#: a blank between two words of two letters or more, where a cut changes no word
+BETWEEN = re.compile(r"[^\W\d_]{2}\s(?=[^\W\d_]{2})")
+
+
 def parts(text: str) -> Iterator[str]:
-    """A very long text in parts of LONG characters or little more, cut at a blank if one is near."""
+    """A very long text in parts of LONG characters or more, cut only where neither a word nor a run of single letters ends."""
     at = 0
     while at < len(text):
-        cut = text.find(" ", at + LONG, at + LONG + 4096)
-        cut = cut if cut > 0 else at + LONG
+        found = BETWEEN.search(text, at + LONG)
+        cut = found.end() if found else len(text)
         yield text[at:cut]
         at = cut
 
@@ -224,8 +229,9 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def distinct_words(text: str | None) -> list[str]:
-    """The distinct words of a text in the normal form."""
-    return sorted({*_SHOWN[normal_form([text])[0]].tobytes().decode().replace("\0", " ").split()})
+    """The distinct words of a text in the normal form; a long word as the stretches that scoring reads."""
+    words = _SHOWN[normal_form([text])[0]].tobytes().decode().replace("\0", " ").split()
+    return sorted({w[at : at + 2 * CELL] for w in words for at in range(0, max(1, len(w) - CELL), CELL)})
 
 
 class Landmarks:
@@ -255,7 +261,7 @@ class Landmarks:
             slot = self.slot[index]
             hit = slot < width - 1
             out += w * np.bincount(owner[hit] * width + slot[hit], minlength=len(out)).astype(np.float32)
-        return out.reshape(len(words), width)[:, :-1] / NORM[np.minimum(ends - starts, 2 * CELL)][:, None]
+        return out.reshape(len(words), width)[:, :-1] / NORM[ends - starts][:, None]
 
     def kernel(self, strings: list[str]) -> np.ndarray:
         """Whitened kernel values of words."""
@@ -274,7 +280,7 @@ def inserted(word: str) -> list[str]:
     out = []
     for k in range(2):
         at = 1 + (h >> (8 * k)) % max(1, len(word) - 1)
-        out.append(word[:at] + chr(97 + (h >> (8 * k + 4)) % 26) + word[at:])
+        out.append((word[:at] + chr(97 + (h >> (8 * k + 4)) % 26) + word[at:])[: 2 * CELL])
     return out
 
 
