@@ -53,6 +53,10 @@ SIDE_NAMES = frozenset(
 #: what else holds an article on other sites
 CONTAINERS = (("main",), ("article",), ("div", "content"), ("div", "post"), ("div", "entry"), ("section", "body"), ("main", "article"), ("div", "main", "article"), ("div", "story"))
 PLAIN = ("post", "entry", "body", "text", "page", "wrap")
+#: forms that main text takes, forms of what readers write, and what heads it
+FORMS = (("ul", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("blockquote", "p"), ("blockquote",), ("dl", "dd"), ("dl", "dt"), ("figure", "figcaption"), ("pre",), ("h2",), ("h3",), ("section", "p"), ("div", "p"))
+POSTS = (("ul", "li"), ("ol", "li"), ("ol", "li", "p"), ("div", "p"), ("p",), ("div",), ("article", "p"), ("blockquote", "p"))
+COMMENT_NAMES = ("comment", "comments", "replies", "respond", "disqus", "reply")
 TAG_SLOTS, WORD_SLOTS, WIDTH, STATE, MEASURES = 512, 1024, 8, 12, 6
 
 
@@ -363,7 +367,7 @@ def chain(path: Path) -> list[tuple[str, ...]]:
 
 
 def augmented(found: list[Block], rng: np.random.Generator) -> list[tuple[Block, bool]]:
-    """A page's blocks with their labels, blocks of other kinds put in, elements put in between, and parts of paths hidden."""
+    """A page's blocks with their labels, main text of other forms and what isn't main text put in, elements put in between, and parts of paths hidden."""
     out = [(b, is_main(b.path)) for b in found]
     sides, bodies = sorted(SIDE_NAMES), sorted(SIDE_TAGS)
     words = [w for b in found for w in b.text.split(" ")[:200]]
@@ -386,7 +390,30 @@ def augmented(found: list[Block], rng: np.random.Generator) -> list[tuple[Block,
             path = out[at][0].path
             path = path if rng.random() < 0.7 or path.parent is None else path.parent.inside(("h2", "p", "blockquote", "pre", "header")[rng.integers(5)])
             out.insert(at + 1, (Block(text, path, 0.0), True))
+    draw = lambda options: options[rng.integers(len(options))]
+    below = lambda path, tags: below(path.inside(tags[0]), tags[1:]) if tags else path
+    text_of = lambda path, most: Block(drawn(rng.integers(1, most)), path, float(rng.random() < 0.2))
+    inside = [k for k, (_, y) in enumerate(out) if y]
+    if inside:
+        holder = out[inside[0]][0].path
+        while holder.parent is not None and holder.parent.main:
+            holder = holder.parent
+        for _ in range(rng.integers(0, 4)):  # lists, tables, quotes and headings of main text
+            form, at = draw(FORMS), inside[rng.integers(len(inside))] + 1
+            out[at:at] = [(text_of(below(holder, form), 25), True) for _ in range(rng.integers(1, 7))]
+        end = 1 + max(k for k, (_, y) in enumerate(out) if y)
+        if rng.random() < 0.4:  # what readers write, with a heading, in the article or behind it
+            around = (holder if rng.random() < 0.6 else plain).inside(draw(("section", "div", "aside", "ul")), draw(COMMENT_NAMES))
+            posts = [text_of(below(around, draw(POSTS)), 40) for _ in range(rng.integers(1, 6))]
+            out[end:end] = [(b, False) for b in [text_of(around.inside(draw(("h2", "h3", "h4", "p"))), 4)] * (rng.random() < 0.7) + posts]
+        if rng.random() < 0.3:  # a form in the article or beside it
+            form = draw((holder, plain)).inside("form")
+            at = int(rng.integers(0, end + 1)) if form.parent is plain else end
+            out[at:at] = [(text_of(form.inside(draw(("label", "p", "div", "label", "button"))), 8), False) for _ in range(rng.integers(1, 4))]
     hide = rng.random() < 0.1
+    if inside and not hide and rng.random() < 0.3:  # lists without a name beside the text
+        at = draw((0, len(out)))
+        out[at:at] = [(text_of(below(plain, draw(POSTS[:6])), 40), False) for _ in range(rng.integers(1, 6))]
     other = CONTAINERS[rng.integers(len(CONTAINERS))] if rng.random() < 0.5 else None
     deep = int(rng.integers(1, 15)) if rng.random() < 0.3 else 0  # elements without a meaning, around the main text or inside it
     named = sides[rng.integers(len(sides))] if rng.random() < 0.1 else None
