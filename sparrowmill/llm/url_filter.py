@@ -11,7 +11,7 @@ block among labelled URLs, and how many there are. These counts cover all labell
 of its counts when the trees learn. The trees fit the logistic loss by gradient and curvature over histograms of each feature.
 
 Training reads a bounded sample of labelled rows, at most ``per_class`` of each verdict, those with the smallest hash of URL and
-page, weighted so that the verdicts count as often as in the table. Only numbers reach the driver. Everything else reads all rows.
+page among a share of the rows that is drawn by the same hash, weighted so that the verdicts count as often as in the table. Only numbers reach the driver. Everything else reads all rows.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by the trees; with one
 verdict among the labels, all others get that one; without labels every URL is allowed; rows that repeat are judged alike; very
@@ -220,7 +220,9 @@ def train(rows: DataFrame, per_class: int = 20_000) -> Forest | None:
 
     found = []
     for verdict in sizes:
-        picked = known.where(F.col("verdict") == verdict).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(per_class)
+        drawn, of_million = F.xxhash64("url", "page_id"), min(1_000_000, 1 + 2_000_000 * per_class // sizes[verdict])
+        near = known.where((F.col("verdict") == verdict) & (F.pmod(F.shiftright(drawn, 20), F.lit(1_000_000)) < of_million))  # about twice as many, so that no task sends more
+        picked = near.orderBy(drawn, "url", "page_id").limit(per_class)
         found.append(picked.select(F.lit(int(verdict == "block")).alias("y"), *INPUT).mapInArrow(run, "y int, x array<double>").toArrow())
     rows_ = pa.concat_tables(found)
     y, x = rows_.column("y").to_numpy().astype(float), np.stack(rows_.column("x").to_pylist())
