@@ -41,8 +41,9 @@ def text_sim(a: Column, b: Column) -> Column:
 
 
 def box(c: Column) -> Column:
-    """Signed bounds '[l,t][r,b]' as a struct, null if there are fewer than two pairs."""
-    n = F.transform(F.regexp_extract_all(c, F.lit(r"(-?[0-9]+)"), 1), lambda x: x.cast("int"))
+    """Signed bounds '[l,t][r,b]' as a struct from the first two bracketed pairs, null if there are fewer."""
+    pairs = F.slice(F.regexp_extract_all(c, F.lit(r"\[(-?[0-9]+),(-?[0-9]+)\]"), F.lit(0)), 1, 2)
+    n = F.transform(F.regexp_extract_all(F.array_join(pairs, ""), F.lit(r"(-?[0-9]+)"), F.lit(1)), lambda x: x.cast("int"))
     return F.when(F.size(n) >= 4, F.struct(n[0].alias("l"), n[1].alias("t"), n[2].alias("r"), n[3].alias("b")))
 
 

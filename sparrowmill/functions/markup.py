@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate
 from xml.parsers import expat
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -23,6 +26,8 @@ class Node:
     end: int = 0  # number of the first element after its subtree
     begin_text: int = 0  # its subtree's stretch of the document's texts
     end_text: int = 0
+    begin: int = 0  # its stretch of characters; what isn't closed ends with its opening tag
+    stop: int = 0
 
     def named(self, names: tuple[str, ...] = NAMING) -> set[str]:
         return {v.strip() for n in names if (v := self.attributes.get(n))}
@@ -35,6 +40,7 @@ class Document:
         self.nodes: list[Node] = []
         self.texts: list[str] = []
         self._open: list[int] = []
+        self._held: Counter[str] = Counter()  # open elements of each tag
         self._piece: list[str] = []
 
     def _cut(self, shown: bool = True) -> None:
@@ -46,24 +52,28 @@ class Document:
             if shown and piece.strip():
                 self.texts.append(piece.strip())
 
-    def start(self, tag: str, attributes: dict[str, str | None], empty: bool = False) -> None:
+    def start(self, tag: str, attributes: dict[str, str | None], empty: bool = False, begin: int = 0, stop: int = 0) -> None:
         self._cut()
-        self.nodes.append(Node(tag, attributes, len(self._open), begin_text=len(self.texts)))
+        self.nodes.append(Node(tag, attributes, len(self._open), begin_text=len(self.texts), begin=begin, stop=stop))
         self._open.append(len(self.nodes) - 1)
+        self._held[tag] += 1
         if empty:
             self._leave()
 
     def _leave(self) -> None:
         node = self.nodes[self._open.pop()]
+        self._held[node.tag] -= 1
         node.end, node.end_text = len(self.nodes), len(self.texts)
 
-    def stop(self, tag: str) -> None:
-        """Close the innermost open element of that tag; a stray end tag does nothing."""
+    def stop(self, tag: str, upto: int | None = None) -> None:
+        """Close the innermost open element of that tag, which ends at ``upto``; a stray end tag does nothing."""
         shown = not (self._open and self.nodes[self._open[-1]].tag in ("script", "style", "template"))
         self._cut(shown)
-        if any(self.nodes[k].tag == tag for k in self._open):
+        if self._held[tag]:
             while self.nodes[self._open[-1]].tag != tag:
                 self._leave()
+            if upto is not None:
+                self.nodes[self._open[-1]].stop = upto
             self._leave()
 
     def data(self, text: str) -> None:
@@ -83,18 +93,29 @@ class Document:
 
 
 class _Lenient(HTMLParser):
-    def __init__(self, into: Document):
+    def __init__(self, into: Document, text: str):
         super().__init__(convert_charrefs=True)
-        self.into = into
+        self.into, self.text = into, text
+        self.lines = [0, *(m.end() for m in re.finditer("\n", text))]  # where lines begin
+        self.feed(text)
+        self.close()
+
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def opened(self, tag, attrs, empty):
+        at = self.place()
+        self.into.start(tag, {k: v if v is not None else "" for k, v in attrs}, empty, at, at + len(self.get_starttag_text()))
 
     def handle_starttag(self, tag, attrs):
-        self.into.start(tag, {k: v if v is not None else "" for k, v in attrs}, empty=tag in VOID)
+        self.opened(tag, attrs, tag in VOID)
 
     def handle_startendtag(self, tag, attrs):
-        self.into.start(tag, {k: v if v is not None else "" for k, v in attrs}, empty=True)
+        self.opened(tag, attrs, True)
 
     def handle_endtag(self, tag):
-        self.into.stop(tag)
+        self.into.stop(tag, self.text.find(">", self.place()) + 1 or len(self.text))
 
     def handle_data(self, data):
         self.into.data(data)
@@ -103,22 +124,47 @@ class _Lenient(HTMLParser):
         self.into.comment(data)
 
 
+class _Strict:
+    """Reads well-formed XML; raises ExpatError for anything else."""
+
+    QUOTED = re.compile(rb"""(?:"[^"]*"|'[^']*'|[^"'>])*>""")
+
+    def __init__(self, into: Document, text: str):
+        bare = text.strip()
+        self.into, self.raw, self.skipped = into, bare.encode("utf-8", "replace"), len(text) - len(text.lstrip())
+        # characters before each byte, where they differ from bytes
+        self.before = None if bare.isascii() else [0, *accumulate((b & 0xC0) != 0x80 for b in self.raw)]
+        self.empty: list[bool] = []
+        self.reader = expat.ParserCreate()
+        self.reader.buffer_text = True
+        self.reader.StartElementHandler, self.reader.EndElementHandler = self.opened, self.closed
+        self.reader.CharacterDataHandler, self.reader.CommentHandler = into.data, into.comment
+        self.reader.Parse(self.raw, True)
+
+    def place(self, byte: int) -> int:
+        return self.skipped + (byte if self.before is None else self.before[byte])
+
+    def opened(self, tag, attributes):
+        at = self.reader.CurrentByteIndex
+        end = self.QUOTED.match(self.raw, at).end()
+        self.empty.append(self.raw[end - 2 : end] == b"/>")
+        self.into.start(tag, attributes, False, self.place(at), self.place(end))
+
+    def closed(self, tag):
+        at = self.reader.CurrentByteIndex
+        self.into.stop(tag, None if self.empty.pop() else self.place(self.raw.index(b">", at) + 1))
+
+
 def parsed(markup: str | None) -> Document:
     """Strict XML if it is; what isn't well formed is read as HTML, which skips fences and text before the first tag."""
-    out = Document()
-    reader = expat.ParserCreate()
-    reader.buffer_text = True
-    reader.StartElementHandler, reader.EndElementHandler = out.start, out.stop
-    reader.CharacterDataHandler, reader.CommentHandler = out.data, out.comment
-    try:
-        reader.Parse((markup or "").strip().encode("utf-8", "replace"), True)
-        return out.close()
-    except expat.ExpatError:
+    for reader in (_Strict, _Lenient):
         out = Document()
-        lenient = _Lenient(out)
-        lenient.feed(markup or "")
-        lenient.close()
+        try:
+            reader(out, markup or "")
+        except expat.ExpatError:
+            continue
         return out.close()
+    raise AssertionError("the lenient reader takes any text")
 
 
 def full_text(doc: Document, k: int) -> str:

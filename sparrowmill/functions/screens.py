@@ -62,39 +62,51 @@ def read(xml: str | None) -> Element | None:
     return top.children[0]
 
 
-def kind_of(name: str, flags: dict[str, str], leaf: bool) -> str:
-    """The first of the kinds that fits a class name and the flags of an element."""
-    if name == "EditText":
-        return "input"
-    if flags.get("checkable") == "true":
-        return "Checker"
-    if flags.get("clickable") == "true" or name in BUTTONS:
-        return "Button"
-    if flags.get("scrollable") == "true":
-        return "Scroll"
-    if name in CONTAINERS:
-        return "div"
-    if name == "ImageView":
-        return "Image"
-    return "TextField" if name == "TextView" or (leaf and "text" in flags) else "div"
+_given, _on = (lambda v: bool(v)), (lambda v: v is not None and v != "false")
+#: what an element of a dump keeps, in this order: name, source, whether a value stays
+KEPT = (
+    ("text", "text", _given),
+    ("description", "content-desc", _given),
+    ("important", "important", _given),
+    ("class", "class", _given),
+    *((flag, flag, _on) for flag in ("checkable", "clickable", "scrollable", "long-clickable")),
+    *((place, place, lambda v: v is not None) for place in ("bounds", "index")),
+    ("id", "resource-id", _given),
+)
+#: kinds from the strongest to the weakest claim: kind, condition on class name, kept attributes and being a leaf
+KINDS = (
+    ("input", lambda name, kept, leaf: name == "EditText"),
+    ("Checker", lambda name, kept, leaf: kept.get("checkable") == "true"),
+    ("Button", lambda name, kept, leaf: kept.get("clickable") == "true" or name in BUTTONS),
+    ("Scroll", lambda name, kept, leaf: kept.get("scrollable") == "true"),
+    ("div", lambda name, kept, leaf: name in CONTAINERS),
+    ("Image", lambda name, kept, leaf: name == "ImageView"),
+    ("TextField", lambda name, kept, leaf: name == "TextView" or (leaf and "text" in kept)),
+    ("div", lambda name, kept, leaf: True),
+)
+#: flags that a kind itself says, and what it takes from the dump instead: (name, value if missing)
+SAID = {"Checker": ("checkable", ("checked", "false")), "Button": ("clickable", None)}
+
+
+def last_part(name: str, sign: str) -> str:
+    return name.rsplit(sign, 1)[-1]
 
 
 def named(raw: Element) -> Element:
     """An element of a dump, without children, under the name of its kind."""
-    a, leaf = raw.attributes, not raw.children
-    kept = {to: a[of] for to, of in (("text", "text"), ("description", "content-desc"), ("important", "important"), ("class", "class")) if a.get(of)}
-    kept |= {k: a[k] for k in ("checkable", "clickable", "scrollable", "long-clickable") if a.get(k, "false") != "false"}
-    kept |= {k: a[k] for k in ("bounds", "index") if k in a}
-    if a.get("resource-id"):
-        kept["id"] = a["resource-id"].rsplit("/", 1)[-1]
-    tag = kind_of((a.get("class") or "node").rsplit(".", 1)[-1], kept, leaf)
-    if tag == "Checker":
-        del kept["checkable"]
-        kept["checked"] = a.get("checked", "false")
-    elif tag == "Button":
-        kept.pop("clickable", None)
-    text = kept.pop("text", "") if leaf and tag in ("input", "TextField") else ""
-    return Element(tag, kept, text)
+    leaf = not raw.children
+    kept = {name: raw.attributes[source] for name, source, stays in KEPT if stays(raw.attributes.get(source))}
+    if "id" in kept:
+        kept["id"] = last_part(kept["id"], "/")
+    name = last_part(raw.attributes.get("class") or "node", ".")
+    out = Element(next(kind for kind, fits in KINDS if fits(name, kept, leaf)), kept)
+    flag, instead = SAID.get(out.tag, ("", None))
+    kept.pop(flag, None)
+    if instead:
+        kept[instead[0]] = raw.attributes.get(*instead)
+    if leaf and out.tag in ("input", "TextField"):
+        out.text = kept.pop("text", "")
+    return out
 
 
 def simplified(raw: Element) -> Element | None:
@@ -113,30 +125,34 @@ def simplified(raw: Element) -> Element | None:
     return done[id(raw)]
 
 
+_spoken, _ticked = (lambda e: e.attributes.get("description")), (lambda e: e.attributes.get("checked", "").lower() == "true")
+#: attributes of markup by kind: (kinds, attribute, its value, whether it replaces one that is there); no value leaves none where it replaces
+MARKUP = (
+    ({"Scroll"}, "data-scroll", lambda e: "true", True),
+    ({"Checker"}, "type", lambda e: "checkbox", True),
+    ({"Checker"}, "checked", lambda e: "checked" if _ticked(e) else None, True),
+    ({"input"}, "type", lambda e: "text", False),
+    ({"input"}, "value", lambda e: e.text.strip() or e.attributes.get("text"), False),
+    ({"Image"}, "alt", _spoken, False),
+    ({"Scroll", "Checker", "input", "Button", "TextField", "div"}, "aria-label", _spoken, False),
+)
+#: texts by kind, where the rule changes them
+SHOWN = {"input": lambda e: "" if e.text.strip() else e.text, "Button": lambda e: e.text if e.text.strip() else e.attributes.get("text") or e.text}
+
+
 def _tidy(e: Element) -> None:
     """One element in the names and attributes of markup."""
-    a = e.attributes
-    if e.tag == "Scroll":
-        a["data-scroll"] = "true"
-    elif e.tag == "Checker":
-        a["type"] = "checkbox"
+    for kinds, name, value, replaces in MARKUP:
+        if e.tag in kinds and (replaces or name not in e.attributes):
+            found = value(e)
+            if found:
+                e.attributes[name] = found
+            elif replaces:
+                e.attributes.pop(name, None)
+    e.text = SHOWN.get(e.tag, lambda e: e.text)(e)
     e.tag = NAMES.get(e.tag, e.tag)
-    if said := a.get("description"):
-        a.setdefault("alt" if e.tag == "img" else "aria-label", said)
-    if e.tag == "input" and a.get("type") == "checkbox":
-        if a.get("checked", "").lower() == "true":
-            a["checked"] = "checked"
-        else:
-            a.pop("checked", None)
-    elif e.tag == "input":
-        a.setdefault("type", "text")
-        if value := e.text.strip() or a.get("text"):
-            a.setdefault("value", value)
-        e.text = "" if e.text.strip() else e.text
-    elif e.tag == "button" and not e.text.strip():
-        e.text = a.get("text") or e.text
-    stay = ("index", "bounds", *STAY.get(e.tag, ()))
-    e.attributes = {k: v for k, v in a.items() if k in stay}
+    stay = {"index", "bounds", *STAY.get(e.tag, ())}
+    e.attributes = {name: value for name, value in e.attributes.items() if name in stay}
 
 
 def _look(e: Element) -> tuple:

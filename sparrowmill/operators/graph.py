@@ -92,22 +92,3 @@ def matched_pages(lines: DataFrame, threshold: float = 0.85) -> DataFrame:
         return step
 
     return by_session(lines.select("session", "seq", "lines"), ["seq"], start, "session bigint, seq bigint, value int").withColumnRenamed("value", "page_key")
-
-
-def either_signature_once(rows: DataFrame) -> DataFrame:
-    """Rows (session, seq, a, b) kept unless either signature was seen on an earlier kept row of the session; only the first row of each (session, a, b) can be."""
-
-    def start():
-        seen_a, seen_b = set(), set()
-
-        def step(a, b):
-            if a in seen_a or b in seen_b:
-                return None
-            seen_a.add(a)
-            seen_b.add(b)
-            return 1
-
-        return step
-
-    firsts = rows.groupBy("session", "a", "b").agg(F.min("seq").alias("seq")).select("session", "seq", "a", "b")
-    return by_session(firsts, ["seq", "a", "b"], start, "session bigint, seq bigint, value int").drop("value")

@@ -165,12 +165,6 @@ def str01(t):
     return graph.matched_pages(lines)
 
 
-@query("set02_either_signature")
-def set02(t):
-    rows = t["events"].select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("a"), F.col("props").alias("b"))
-    return graph.either_signature_once(rows)
-
-
 @query("grf06_hop_distances", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, event_type AS dst FROM events) x WHERE src IS NOT NULL AND src <> dst),
   r(page, hops) AS (SELECT 'click', 0 UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON r.page = e.src WHERE r.hops < 6) SELECT page, min(hops)::INT AS hops FROM r GROUP BY page""")
 def grf06(t):

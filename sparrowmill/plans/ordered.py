@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import progress, routes, sampling
+from sparrowmill.operators import exploration, progress, routes, sampling
 from sparrowmill.plans.registry import query
 
 
@@ -137,3 +137,43 @@ def grf04_latest_destination(t):
 @query("grf05_shortest_routes")
 def grf05_shortest_routes(t):
     return routes.shortest_routes(routes.latest_edges(moves(t)), "click")
+
+
+OFFERED = """(SELECT DISTINCT user_id AS page, event_id % 7 AS signature, unnest(CASE WHEN event_id % 2 = 0 THEN ['touch', 'long_touch'] ELSE ['scroll'] END) AS action FROM events)"""
+TRIED = "(SELECT DISTINCT user_id AS page, event_id % 7 AS signature, CASE WHEN event_id % 5 = 0 THEN 'touch' WHEN event_id % 5 = 1 THEN 'scroll' ELSE 'long_touch' END AS action FROM events WHERE {})"
+
+
+def tried(t, condition: str):
+    n = F.col("event_id")
+    action = F.when(n % 5 == 0, "touch").when(n % 5 == 1, "scroll").otherwise("long_touch")
+    return t["events"].where(condition).select(F.col("user_id").alias("page"), (n % 7).alias("signature"), action.alias("action"))
+
+
+@query("grf08_actions_left", f"""WITH o AS {OFFERED}, b AS (SELECT * FROM {TRIED.format("value < 5")} x UNION SELECT * FROM {TRIED.format("value > 60")} y)
+SELECT page, signature, action FROM o WHERE NOT EXISTS (FROM b WHERE b.page = o.page AND b.signature = o.signature AND b.action = o.action)
+  AND (action <> 'long_touch' OR EXISTS (FROM b WHERE b.page = o.page AND b.signature = o.signature AND b.action = 'touch'))""")
+def grf08_actions_left(t):
+    """Small values were explored, large ones failed as a way to the page."""
+    n = F.col("event_id")
+    states = t["events"].select(F.col("user_id").alias("page"), (n % 7).alias("signature"), F.when(n % 2 == 0, F.array(F.lit("touch"), F.lit("long_touch"))).otherwise(F.array(F.lit("scroll"))).alias("actions"))
+    return exploration.unexplored(states, tried(t, "value < 5"), tried(t, "value > 60"))
+
+
+EFFECTS = """(SELECT src AS page, 'k' || (event_id % 3) AS struct_key, event_id % 2 AS action, count(*) AS fired, count(DISTINCT dst) AS destinations FROM (
+  SELECT event_id, event_type AS dst, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src FROM events) e WHERE src IS NOT NULL AND event_id % 3 <> 2 GROUP BY ALL)"""
+
+
+def effects(t):
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    n = F.col("event_id")
+    return exploration.effects(t["events"].select(before.alias("page"), F.when(n % 3 != 2, F.concat(F.lit("k"), n % 3)).alias("struct_key"), (n % 2).alias("action"), F.col("event_type").alias("to_page")))
+
+
+@query("msc07_effects_of_structures", f"SELECT * FROM {EFFECTS} x")
+def msc07_effects(t):
+    return effects(t)
+
+
+@query("msc07_effect_summary", f"SELECT count(*) AS groups, count_if(fired > 3 AND destinations = 1) AS would_saturate FROM {EFFECTS} x")
+def msc07_summary(t):
+    return exploration.effect_summary(effects(t))

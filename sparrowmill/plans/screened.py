@@ -70,3 +70,46 @@ def fn65(t):
     """Screens of as many lines have one shape, whatever their texts and bounds."""
     by_size = screens(t).select(F.greatest(F.size("s.items") - 1, F.lit(1)).alias("n"), S.fingerprint(F.col("s.shape")).alias("f"))
     return by_size.groupBy("n").agg(F.count("*").alias("orders"), F.count_distinct("f").cast("int").alias("shapes"))
+
+
+#: lines of an order as elements of all kinds, by their place; a scroller shows its text twice, of which one stays
+KINDS = """k6 AS (SELECT l_orderkey, k, q, (k - 1) % 6 AS kind, 1 + coalesce(sum(CASE WHEN (k - 1) % 6 = 5 THEN 2 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS i FROM """ + LINES + """ x)"""
+ELEMENT = """CASE kind WHEN 0 THEN '<button index="' || i || '">' || q || '</button>' WHEN 1 THEN '<input type="text" value="' || q || '" index="' || i || '" />' WHEN 2 THEN '<input checked="checked" type="checkbox" index="' || i || '" />'
+  WHEN 3 THEN '<img alt="' || q || '" index="' || i || '" />' WHEN 4 THEN '<p index="' || i || '">' || q || '</p>' ELSE '<div data-scroll="true" index="' || i || '"><p index="' || (i + 1) || '">' || q || '</p></div>' END"""
+SHOWN_LINE = """CASE kind WHEN 0 THEN '<button>' || q || '</button>' WHEN 1 THEN '<input type="text" value="' || q || '"></input>' WHEN 2 THEN '<input type="checkbox" checked="checked"></input>'
+  WHEN 3 THEN '<img alt="' || q || '"></img>' WHEN 4 THEN '<p>' || q || '</p>' ELSE '<div data-scroll="true"></div>|<p>' || q || '</p>' END"""
+
+
+def all_kinds(t):
+    """(l_orderkey, xml): per order a frame with a button, a text field, a checked box, a picture, a text, a scroller and on; and a node without an area."""
+    q, k = F.col("r.q").cast("string"), F.col("at")
+    node = lambda name, more: F.concat(F.lit(f'<node class="a.{name}" bounds="[0,1][2,3]" '), *more, F.lit("/>"))
+    value = lambda name: (F.lit(f'{name}="'), q, F.lit('"'))
+    row = node("TextView", value("text"))
+    made = (
+        F.when(k % 6 == 0, node("Button", (F.lit('clickable="true" '), *value("text"))))
+        .when(k % 6 == 1, node("EditText", value("text")))
+        .when(k % 6 == 2, node("CheckBox", (F.lit('checkable="true" checked="true" clickable="true" '), *value("text"))))
+        .when(k % 6 == 3, node("ImageView", value("content-desc")))
+        .when(k % 6 == 4, row)
+        .otherwise(F.concat(F.lit('<node class="RecyclerView" scrollable="true" bounds="[0,1][2,3]">'), row, row, F.lit("</node>")))
+    )
+    rows = t["lineitem"].groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("xs"))
+    parts = rows.select("l_orderkey", F.posexplode("xs").alias("at", "r")).select("l_orderkey", "at", made.alias("x"))
+    body = parts.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]), "").alias("body"))
+    gone = '<node class="Button" clickable="true" bounds="[0,0][0,0]" text="gone"/>'
+    return body.select("l_orderkey", F.concat(F.lit('<hierarchy><node class="android.widget.FrameLayout">'), "body", F.lit(f"{gone}</node></hierarchy>")).alias("xml"))
+
+
+@query("xml03_screens_of_all_kinds", f"WITH {KINDS} SELECT l_orderkey, md5('<div index=\"0\">' || string_agg({ELEMENT}, '' ORDER BY k) || '</div>') AS encoded, string_agg({SHOWN_LINE}, '|' ORDER BY k) AS lines, count_if(kind <= 2) AS n_touchable FROM k6 GROUP BY l_orderkey")
+def xml03(t):
+    s = all_kinds(t).select("l_orderkey", S.screen("xml").alias("s"))
+    items = F.col("s.items")
+    return s.select("l_orderkey", F.md5("s.encoded").alias("encoded"), F.array_join(S.element_lines(items), "|").alias("lines"), F.size(S.interactable_indexes(items)).alias("n_touchable"))
+
+
+@query("fn56_acting_elements_of_all_kinds", f"""WITH {KINDS} SELECT l_orderkey, i AS index, CASE kind WHEN 0 THEN 'button::' || q WHEN 1 THEN 'input:text:' || q WHEN 2 THEN 'input:checkbox:@' || i ELSE 'div::@' || i END AS signature,
+  CASE kind WHEN 0 THEN 'touch,long_touch' WHEN 1 THEN 'set_text' WHEN 2 THEN 'select' ELSE 'scroll' END AS actions FROM k6 WHERE kind IN (0, 1, 2, 5)""")
+def fn56_all(t):
+    acting = all_kinds(t).select("l_orderkey", F.explode(S.acting(S.screen("xml")["items"])).alias("e"))
+    return acting.select("l_orderkey", "e.index", "e.signature", F.array_join("e.actions", ",").alias("actions"))

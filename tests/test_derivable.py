@@ -42,3 +42,19 @@ def test_panel_of_many(spark):
     doc = markup.parsed("<a>" + KEYBOARD.format("") + "<p>word here</p>" * 30 + "</a>")
     assert list(derivable.panel(doc)) == list(range(1, 19))
     assert list(derivable.panel(markup.parsed(""))) == []
+
+
+def test_reasons(spark):
+    now = '<div><p bounds="[0,0][9,9]">One</p><p index="4">Two</p><q index="8">red green</q><q index="8">red blue</q></div>'
+    then = '<div><p bounds="[0,0][9,9]">one</p><p index="5">TWO</p><b bounds="[1,1][2,2]">say Hello</b><i bounds="[20,20][40,40]">new</i><u index="8">red black</u><s bounds="[5,5]">lost</s></div>'
+
+    def told(action):
+        df = spark.createDataFrame([(1, now, then, action)], "k bigint, c string, n string, a string")
+        return derivable.reasons(df, "k", "c", "n", "a")
+
+    got = [(r.rule, r.matched, r.text_sim, r.undecidable) for r in told('{"action":"click","coordinate":[30,30]}').orderBy("pos").collect()]
+    assert got == [("no text", None, 0.0, False), ("same slot and text", 1, 1.0, False), ("text elsewhere", 2, 1.0, False), ("none", None, 0.0, False), ("point inside", None, 0.0, False), ("no bounds", None, 0.0, True), ("no bounds", None, 0.0, True)]
+    got = [(r.label, r.rule, r.matched, r.text_sim) for r in told('{"action":"open","app_name":"hello"}').orderBy("pos").collect()]
+    assert got[3:] == [("ACTION_PAYLOAD", "payload app_name", None, 0.0), ("NON_DERIVABLE", "none", None, 0.0), ("NON_DERIVABLE", "slot with other text", 3, 0.3333), ("NON_DERIVABLE", "none", None, 0.0)]
+    total = derivable.totals(told('{"coordinate":[30,30]}'), "key").first()
+    assert (total.n, total.underivable, total.own_text, total.own_underivable, total.undecidable) == (7, 3, 6, 3, 2)
