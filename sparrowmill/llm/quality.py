@@ -1,7 +1,9 @@
 """Quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are labelled rows of quality 1, the unlabelled text is any row that may be learned from, and the class
-prior is the share of quality 1 among the learnable labels. The classifier is linear over standardised features of the
+Trusted positives are labelled rows of quality 1, the unlabelled text is any row that may be learned from; labels of quality 0 are
+never read. The class prior is estimated from these two: a first classifier, fitted on one half of them and asked about the other
+and the other way round, ranks both, and above any score the unlabelled text holds at least the prior's part of what the positives
+hold there; the least such ratio over scores that many positives reach is the estimate. The classifier is linear over standardised features of the
 whole text (shares of kinds of characters, repetition of words and word pairs, lengths) with their squares and pairwise
 products. It minimises prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss: when the
 estimated negative part falls below zero, a step goes back along it instead of fitting it further.
@@ -104,27 +106,44 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return out
 
 
+#: the estimate of the prior looks at scores that this share of the positives reaches at least and at most
+REACHED = (0.2, 0.9)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The largest share of the unlabelled rows that could be like the positives."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    ratios = []
+    for k in (0, 1):
+        first = fit(positive[k::2], unlabelled[k::2], 0.5, rounds=200)
+        p, u = (np.sort(first.score(x[1 - k :: 2])) for x in (positive, unlabelled))
+        cuts = np.quantile(p, np.linspace(1 - REACHED[1], 1 - REACHED[0], 36), method="lower")
+        above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)  # noqa: B023, E731
+        ratios.append(np.min(above(u) / above(p)))
+    return float(np.clip(np.mean(ratios), 0.05, 0.95))
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 6000, unlabelled: int = 12000) -> Classifier | None:
-    """``positives`` and ``unlabelled`` bound what is collected: 15 numbers for each row."""
-    known = labels.where(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg("quality").alias("p"), F.sum("quality").alias("n")).first()
-    if not share.n:
-        return None
+    """``positives`` and ``unlabelled`` bound what is collected: 15 numbers for each row; rows that repeat an id count once."""
+    known = labels.where(learn & (F.col("quality") == 1)).select("doc_id").distinct()
     by_hash = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = by_hash(known.where("quality = 1").select("doc_id"), positives).withColumn("y", F.lit(1))
+    picked = by_hash(known, positives).withColumn("y", F.lit(1))
     picked = picked.unionByName(by_hash(docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id"), unlabelled).distinct().withColumn("y", F.lit(0)))
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(run, "y int, x array<double>").toPandas()
+    once = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = once.select("y", "text").mapInArrow(run, "y int, x array<double>").toPandas()
     if not (rows["y"] == 1).any() or not (rows["y"] == 0).any():
         return None
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
     order = np.lexsort([*x.T, y])
     x, y = x[order], y[order]
-    return fit(x[y == 1], x[y == 0], float(np.clip(share.p, 0.05, 0.95)))
+    # rows are in the order of their features here: taken in turns, both halves are alike
+    return fit(x[y == 1], x[y == 0], estimated_prior(x[y == 1], x[y == 0]))
 
 
 def scored(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
