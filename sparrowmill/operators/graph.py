@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowmill.operators.ordering import held
+
 
 def page_edges(events: DataFrame) -> DataFrame:
     """Distinct (src, dst) of consecutive pages of a session, without loops."""
@@ -20,26 +21,17 @@ def page_edges(events: DataFrame) -> DataFrame:
 def hop_distances(edges: DataFrame, start: str, limit: int | None = None) -> DataFrame:
     """(page, hops) of all pages reached from ``start`` by a frontier join; visited pages leave by an anti-join.
 
-    Each step is written to the session's checkpoint folder, if it has one, and read again, so lineage doesn't grow. With a
+    Each step is written below the session's checkpoint folder and read again, so lineage doesn't grow. With a
     ``limit``, an error tells that pages beyond it remain.
     """
     spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = f"{folder.rstrip('/')}/hops-{uuid.uuid4().hex[:12]}" if folder else None
-
-    def held(df: DataFrame, hop: int) -> DataFrame:
-        if root is None:
-            return df
-        df.write.parquet(f"{root}/{hop:06d}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{hop:06d}")
-
-    edges = held(edges.select("src", "dst").distinct(), 0)
+    edges = held(edges.select("src", "dst").distinct(), "edges")
     reached = front = spark.createDataFrame([(start, 0)], "page string, hops int")
     hop = 0
     while True:
         hop += 1
         new = edges.join(front, edges.src == front.page).select(F.col("dst").alias("page")).distinct().join(reached.select("page"), "page", "left_anti")
-        front = held(new.withColumn("hops", F.lit(hop)), hop)
+        front = held(new.withColumn("hops", F.lit(hop)), "hops")
         if front.isEmpty():
             return reached
         if limit is not None and hop > limit:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import markup, matching
 
+#: elements and pages after which a task hands on what it has
+ROWS, PAGES = 20_000, 200
 PAIRS = "array<struct<l:int,r:int,cost:double,sim:double,away:double>>"
 _PAIR = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32()), ("cost", pa.float64()), ("sim", pa.float64()), ("away", pa.float64())]))
 
@@ -17,11 +20,13 @@ def elements(df: DataFrame, key: str, text: str, kind: str = "full", place: str
 
     def run(batches):
         for batch in batches:
-            for at in range(len(batch)):
-                found = markup.elements(batch.column(1)[at].as_py(), kind, place, aria)
-                rows = [{"key": batch.column(0)[at].as_py(), "pos": k, **e} for k, e in enumerate(found)]
-                if rows:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [{"key": key, "pos": k, **e} for k, e in enumerate(markup.elements(text, kind, place, aria))]
+                if len(rows) > ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("index", pa.int64()), ("bounds", pa.string()), ("depth", pa.int32())])
     return df.select(F.col(key).cast("bigint").alias("key"), text).mapInArrow(run, "key bigint, pos int, tag string, text string, index bigint, bounds string, depth int")
@@ -32,10 +37,17 @@ def paired(df: DataFrame, key: str, left: str, right: str, kind: str = "full", p
 
     def run(batches):
         for batch in batches:
-            for at in range(len(batch)):
-                a, b = (markup.elements(batch.column(c)[at].as_py(), kind, place) for c in (1, 2))
-                found = [dict(zip(("l", "r", "cost", "sim", "away"), p, strict=True)) for p in matching.pairs(a, b, place, limit)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([len(a)], pa.int32()), pa.array([len(b)], pa.int32()), pa.array([found], _PAIR)], ["key", "n_left", "n_right", "pairs"])
+            for part in (batch.slice(at, PAGES) for at in range(0, len(batch), PAGES)):
+                sizes, flat = [], []
+                for texts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    a, b = (markup.elements(text, kind, place) for text in texts)
+                    found = matching.pairs(a, b, place, limit)
+                    sizes.append((len(a), len(b), len(found)))
+                    flat += found
+                n = np.array(sizes, np.int32).reshape(-1, 3)
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True) if flat else [[]] * 5, _PAIR.value_type, strict=True)]
+                pairs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[:, 2])], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_PAIR.value_type)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n[:, 0]), pa.array(n[:, 1]), pairs], ["key", "n_left", "n_right", "pairs"])
 
     return df.select(F.col(key).cast("bigint").alias("key"), left, right).mapInArrow(run, f"key bigint, n_left int, n_right int, pairs {PAIRS}")
 

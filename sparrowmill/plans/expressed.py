@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.operators import allocation, exploration, sampling
 from sparrowmill.operators import ledgers as L
+from sparrowmill.operators.ordering import numbered
 from sparrowmill.plans import ledgers as _ledgers  # noqa: F401
 from sparrowmill.plans import relational as _relational  # noqa: F401
 from sparrowmill.plans.registry import ORACLES, QUERIES, Tables
@@ -232,6 +233,12 @@ def win13_occurrence_index(t):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "occurrence")
 
 
+@expressed
+def set03_unique_in_order(t):
+    firsts = t["part"].groupBy(F.col("p_brand").alias("package")).agg(F.min("p_partkey").alias("first_at"))
+    return numbered(firsts, "first_at").select("package", "place")
+
+
 @expressed
 def set06_leakage(t):
     shared = t["benchmark"].select("text").distinct().join(t["documents"].select("text"), "text", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions import actions as A
 from sparrowmill.functions import columns as C
+from sparrowmill.operators.ordering import numbered
 from sparrowmill.plans.registry import query
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -128,7 +129,7 @@ def fn33(t):
 def fn34(t):
     path = F.when(F.col("p_partkey") % 4 == 0, "base").otherwise(F.concat(F.lit("full/epoch-"), F.col("p_size").cast("string"), F.lit(".5")))
     key = A.setting_order(F.col("p_brand"), path)
-    return t["part"].select("p_partkey", F.row_number().over(Window.orderBy(key, "p_partkey")).alias("place"))
+    return numbered(t["part"].select("p_partkey", key.alias("key")), "key", "p_partkey").select("p_partkey", "place")
 
 
 def boxed(left, top):

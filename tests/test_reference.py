@@ -237,7 +237,7 @@ def test_tfrecords(spark, tmp_path):
 
 def test_jsonl_policies(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n')
-    assert readers.jsonl(spark, str(tmp_path), "a int").where("a IS NOT NULL").count() == 2
+    assert sorted(r.a for r in readers.jsonl(spark, str(tmp_path), "a int").collect()) == [1, 2]
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.jsonl(spark, str(tmp_path), "a int", strict=True).collect()
 
