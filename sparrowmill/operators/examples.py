@@ -11,6 +11,8 @@ from sparrowmill.operators.firsts import either_once
 #: fixed values: names of events and of the actions that they become
 ACTIONS = {"tap": "Click", "swipe": "Swipe", "input_text": "Input", "press_back": "Back", "long_press": "LongClick", "press_home": "Home"}
 AIMED, UNAIMED = ("tap", "long_press"), ("press_back", "press_home")
+#: fixed values: what stands before the screen and before the action in an example's question
+BEFORE_SCREEN, BEFORE_ACTION = "<image>\n## Current State\n", "\n\n## Action\n"
 
 
 def transitions(events: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def candidates(events: DataFrame, observations: DataFrame) -> DataFrame:
     both = transitions(events).join(before, ["session", "page_key", "observation"]).join(after, ["session", "after_page", "after_observation"])
     changed = both.where("encoded <> '' AND after <> '' AND encoded <> after")
     acted = changed.withColumns(action_fields(F.col("elements"))).where("kind IS NOT NULL").withColumn("action", action_json(F.col("action_type"), F.col("kind"), F.col("parameter"), F.col("index")))
-    human = F.concat(F.lit("<image>\n## Current State\n"), "encoded", F.lit("\n\n## Action\n"), "action")
+    human = F.concat(F.lit(BEFORE_SCREEN), "encoded", F.lit(BEFORE_ACTION), "action")
     out = acted.select("session", "package", "frame_index", "page_key", "observation", "after_page", "action", human.alias("human"), F.col("after").alias("gpt"))
     zero = F.lit("\u0000")
     return out.withColumns({"a": F.md5(F.concat("human", zero, "gpt")), "b": F.md5(F.concat_ws("\u0000", "package", F.col("page_key").cast("string"), "action", F.col("after_page").cast("string")))})

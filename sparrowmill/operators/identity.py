@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: fixed values: both parameters of BM25
 K1, B = 1.5, 0.75
 #: how many pixel fingerprints of a page are compared, the newest
 LUMAS = 10
+#: fixed values: names of the decisions
 STRUCTURAL, PENDING, MERGED, NEW = "STRUCTURAL_IDENTICAL", "PENDING_EMPTY", "BM25_MERGE", "NEW"
 
 
@@ -301,6 +303,10 @@ def memory_of_pages(pages: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
+#: fixed values: names of the reasons
+MISSED, OTHER_PACKAGE, OTHER_LINES, OTHER_PIXELS, CONTRADICTION = "retrieval-miss", "package-blocked", "element-blocked", "pixel-blocked", "CONTRADICTION"
+
+
 def reasons(log: DataFrame, watched: Column | None = None) -> DataFrame:
     """Why each new page but the first of its unit wasn't a known one: exactly one of retrieval-miss, package-blocked,
     element-blocked, pixel-blocked and CONTRADICTION (a candidate that passed all gates; never in a log of ``decided``).
@@ -321,11 +327,11 @@ def reasons(log: DataFrame, watched: Column | None = None) -> DataFrame:
         F.min(F.when(F.col("element_ok"), F.col("pixel_diff"))).alias("least_pixel_diff"),
     )
     reason = (
-        F.when(F.col("n_candidates").isNull(), "retrieval-miss")
-        .when(~F.col("package_ok"), "package-blocked")
-        .when(~F.col("element_ok"), "element-blocked")
-        .when(F.col("pixel_ok"), "CONTRADICTION")
-        .otherwise("pixel-blocked")
+        F.when(F.col("n_candidates").isNull(), MISSED)
+        .when(~F.col("package_ok"), OTHER_PACKAGE)
+        .when(~F.col("element_ok"), OTHER_LINES)
+        .when(F.col("pixel_ok"), CONTRADICTION)
+        .otherwise(OTHER_PIXELS)
     )
     joined = new.select("session", "part", "seq", "activity", "page").join(met, ["session", "part", "seq"], "left")
     return joined.select("session", "part", "seq", "activity", "page", reason.alias("reason"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "least_diff", "least_pixel_diff")

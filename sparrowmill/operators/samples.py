@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparrowmill.operators import trees, weights
 
+#: fixed values: names of the policies and of what becomes of a sample
 POLICIES = ("fail", "uniform", "skip")
+ACTION, OK, FAULTY = "action", "ok", "diff_fail"
 
 
 def kind_of(images: Column, answer: Column) -> tuple[Column, Column]:
@@ -50,7 +52,7 @@ def processed(samples: DataFrame, key: str, images: str, current: str, answer: s
         told = F.concat(F.lit("sample "), F.col("key").cast("string"), F.lit(": "), F.col("error"))
         even = F.when(F.col("error").isNotNull(), F.raise_error(told)).otherwise(even)
     both = weighed.unionByName(others.withColumn("token_weights", even))
-    status = F.when(F.col("is_action"), "action").when(F.col("error").isNotNull(), "diff_fail").otherwise("ok")
+    status = F.when(F.col("is_action"), ACTION).when(F.col("error").isNotNull(), FAULTY).otherwise(OK)
     return both.select("key", F.when(F.col("is_action"), "action").otherwise("state").alias("kind"), "agrees", status.alias("status"), "error", "token_weights")
 
 
