@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from sparrowmill.functions import markup
+from sparrowmill.operators.ordering import held
 
 _NODES = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("tag", pa.string()), ("names", pa.list_(pa.string())), ("direct", pa.list_(pa.string())), ("begin_text", pa.int32()), ("end_text", pa.int32())]))
 _DOCUMENT = pa.struct([("nodes", _NODES), ("texts", pa.list_(pa.string()))])
@@ -62,7 +63,7 @@ def _within(stretches: DataFrame, begin: str, end: str, items: DataFrame, place:
 
 def full_texts(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, tag, text): each element's own names and direct texts; if it has none, the names of all below it and their joined texts."""
-    read = pages.select(F.col(key).alias("key"), document(text).alias("d"))
+    read = held(pages.select(F.col(key).alias("key"), document(text).alias("d")), "documents")  # read once, asked several times
     nodes = read.select("key", F.size("d.nodes").alias("n"), F.explode("d.nodes").alias("e")).select("key", "n", "e.*")
     own = F.array_sort(F.array_distinct(F.concat("names", "direct")))
     nodes = nodes.withColumn("own", own)
