@@ -50,6 +50,20 @@ def sections(prompt: Column, marks: dict[str, tuple[str, ...]] = MARKS) -> Colum
     return F.map_from_entries(F.filter(found, lambda x: x["value"].isNotNull()))
 
 
+#: fixed values: lines that part the older prompts
+OLDER = ("system\n", "\nuser\n\n## Current State\n", "\n\n## Action\n", "\nassistant")
+
+
+def older_parts(prompt: Column) -> Column:
+    """struct(system, state, action) of a prompt in the older form; the whole text as system and empty parts for any other."""
+    start, state, action, end = (rf"\Q{mark}\E" for mark in OLDER)
+    whole = rf"(?s)\A{start}(.*?){state}(.*?){action}(.*?){end}\n{{0,2}}\z"
+    fits = prompt.rlike(whole)
+    part = lambda k: F.when(fits, F.regexp_extract(prompt, whole, k))
+    empty = F.when(prompt.isNotNull(), "")
+    return F.struct(F.coalesce(part(1), prompt).alias("system"), F.coalesce(part(2), empty).alias("state"), F.coalesce(part(3), empty).alias("action"))
+
+
 def _blocks(text: Column, mark: str, stop: str) -> Column:
     """All lines after a line that holds ``mark`` up to the next such line or one that fits ``stop``, trimmed as one text."""
     parts = F.regexp_extract_all(text, F.lit(rf"(?dms)^[^\n]*\Q{mark}\E[^\n]*$(?:\n|\z)(.*?)(?=^[^\n]*\Q{mark}\E|{stop}|\z)"), 1)
