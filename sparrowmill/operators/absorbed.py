@@ -1,4 +1,4 @@
-"""Texts that blank elements take from all below them, as a join of elements with pre-order intervals."""
+"""Texts that blank elements take from all below them, cut from their pages by pre-order intervals."""
 
 from __future__ import annotations
 
@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from sparrowmill.functions import markup
-from sparrowmill.operators.ordering import held
 
 _NODES = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("tag", pa.string()), ("names", pa.list_(pa.string())), ("direct", pa.list_(pa.string())), ("begin_text", pa.int32()), ("end_text", pa.int32())]))
 _DOCUMENT = pa.struct([("nodes", _NODES), ("texts", pa.list_(pa.string()))])
-LEVELS = 31
 
 
 def _read(text: str | None) -> dict:
@@ -27,54 +25,24 @@ def document(texts: pa.Array) -> pa.Array:
     return pa.array([_read(x.as_py()) for x in texts], _DOCUMENT)
 
 
-def cover(begin: Column, end: Column) -> Column:
-    """The stretch from ``begin`` up to ``end`` as blocks (level, block) of 2^level places each, at most two of a level.
+def full_texts(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, tag, text): each element's own names and direct texts; if it has none, the names of all below it and their joined texts.
 
-    At each level the stretch that is left gives its first block if that is an odd one and its last if it ends behind an even one;
-    the rest is a stretch of blocks of twice the size.
+    What lies below an element is a stretch of its page's elements and of its page's texts, which the parser gives in one row, so it is
+    cut from there: nothing is joined or shuffled, and a page costs what its texts are long.
     """
-    state = F.struct(begin.cast("int").alias("a"), end.cast("int").alias("b"), F.array().cast("array<struct<level:int,block:int>>").alias("out"))
-
-    def step(s: Column, level: Column) -> Column:
-        a, b = s["a"], s["b"]
-        open_ = a < b
-        first, last = open_ & (a % 2 == 1), open_ & (b % 2 == 1) & ~((a % 2 == 1) & (a + 1 == b))
-        block = lambda k: F.array(F.struct(level.cast("int").alias("level"), k.cast("int").alias("block")))
-        none = F.array().cast("array<struct<level:int,block:int>>")
-        out = F.concat(s["out"], F.when(first, block(a)).otherwise(none), F.when(last, block(b - 1)).otherwise(none))
-        a, b = F.when(first, a + 1).otherwise(a), F.when(last, b - 1).otherwise(b)
-        return F.struct(F.shiftright(a, 1).alias("a"), F.when(open_, F.shiftright(b, 1)).otherwise(F.shiftright(a, 1)).alias("b"), out.alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), state, step)["out"]
-
+    read = pages.select(F.col(key).alias("key"), document(text).alias("d"))
+    nodes, texts = F.col("d.nodes"), F.col("d.texts")
 
-def blocks_of(place: Column, n: Column) -> Column:
-    """All blocks (level, block) that hold a place among ``n``."""
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int"))
-    return F.transform(levels, lambda k: F.struct(k.cast("int").alias("level"), F.call_function("shiftright", place.cast("int"), k.cast("int")).alias("block")))
+    def below(e: Column) -> Column:
+        named = F.filter(F.slice(nodes, e["pos"] + 2, e["end"] - e["pos"] - 1), lambda x: F.size(x["names"]) > 0)
+        pieces = F.slice(texts, e["begin_text"] + 1, e["end_text"] - e["begin_text"])
+        whole = F.when(F.size(pieces) > 0, F.array(F.array_join(pieces, " "))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.flatten(F.transform(named, lambda x: x["names"])), whole)
 
+    def shown(e: Column) -> Column:
+        own = F.concat(e["names"], e["direct"])
+        found = F.when(F.size(own) > 0, own).otherwise(below(e))
+        return F.struct(e["pos"].alias("pos"), e["tag"].alias("tag"), F.array_join(F.array_sort(F.array_distinct(found)), " | ").alias("text"))
 
-def _within(stretches: DataFrame, begin: str, end: str, items: DataFrame, place: str) -> DataFrame:
-    """(key, pos, items' columns) of the items whose place lies in a stretch; each meets it in one block, so nothing is met twice or in vain."""
-    wanted = stretches.select("key", "pos", F.explode(cover(F.col(begin), F.col(end))).alias("c")).select("key", "pos", "c.level", "c.block")
-    there = items.withColumn("c", F.explode(blocks_of(F.col(place), F.col("n")))).select("*", "c.level", "c.block").drop("c", "n")
-    return wanted.join(there, ["key", "level", "block"]).drop("level", "block")
-
-
-def full_texts(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, tag, text): each element's own names and direct texts; if it has none, the names of all below it and their joined texts."""
-    read = held(pages.select(F.col(key).alias("key"), document(text).alias("d")), "documents")  # read once, asked several times
-    nodes = read.select("key", F.size("d.nodes").alias("n"), F.explode("d.nodes").alias("e")).select("key", "n", "e.*")
-    own = F.array_sort(F.array_distinct(F.concat("names", "direct")))
-    nodes = nodes.withColumn("own", own)
-    blank = nodes.where(F.size("own") == 0).select("key", "pos", (F.col("pos") + 1).alias("begin"), "end", "begin_text", "end_text")
-    names = nodes.where(F.size("names") > 0).select("key", "n", F.col("pos").alias("at"), "names")
-    taken = _within(blank, "begin", "end", names, "at").select("key", "pos", F.explode("names").alias("name")).groupBy("key", "pos").agg(F.collect_set("name").alias("names"))
-    texts = read.select("key", F.size("d.texts").alias("n"), F.posexplode("d.texts").alias("at", "piece"))
-    below = _within(blank, "begin_text", "end_text", texts, "at").groupBy("key", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    joined = blank.select("key", "pos").join(taken, ["key", "pos"], "left").join(below, ["key", "pos"], "left")
-    none = F.array().cast("array<string>")
-    whole = F.when(F.col("pieces").isNotNull(), F.array(F.array_join(F.transform("pieces", lambda p: p["piece"]), " "))).otherwise(none)
-    absorbed = joined.select("key", "pos", F.array_sort(F.array_distinct(F.concat(F.coalesce("names", none), whole))).alias("found"))
-    out = nodes.select("key", "pos", "tag", "own").join(absorbed, ["key", "pos"], "left")
-    return out.select("key", "pos", "tag", F.array_join(F.coalesce("found", "own"), " | ").alias("text"))
+    return read.select("key", F.inline(F.transform(nodes, shown)))

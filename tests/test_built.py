@@ -151,17 +151,6 @@ def test_absorbed_texts(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("n", [1, 2, 13, 64])
-def test_blocks_cover_a_stretch_once(spark, n):
-    rows = [(a, b) for a in range(n + 1) for b in range(a, n + 1)]
-    df = spark.createDataFrame(rows, "a int, b int").select("a", "b", absorbed.cover(F.col("a"), F.col("b")).alias("c"))
-    for r in df.collect():
-        places = [k for x in r.c for k in range(x.block << x.level, (x.block + 1) << x.level)]
-        assert sorted(places) == list(range(r.a, r.b))
-    held = spark.range(n).select("id", F.explode(absorbed.blocks_of(F.col("id"), F.lit(n))).alias("c")).collect()
-    assert {x.level for r in df.collect() for x in r.c} <= {r.c.level for r in held}
-
-
 def smoothed(h, r):
     """The definition with counts of each length."""
     if not h or not r or not set(h) & set(r):
