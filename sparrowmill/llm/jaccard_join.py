@@ -6,10 +6,10 @@ same links, a good one makes lists short. Of a set of n tokens the first n - cei
 prefix: two linked sets share at least need tokens of their prefixes, need being that of the smaller one. Only prefix
 tokens are shuffled, and only those that two representatives share, of representatives with enough of them, go on.
 
-Representatives that share prefix tokens are partitioned into groups: labels spread along shared tokens for a few
-rounds, and a label with many documents is split into blocks of bounded size. The token-group matrix holds for every
-prefix token the groups it occurs in, with the lengths found there. The overlap of a representative's prefix with a
-group's union bounds that with any member, and a group is opened only when bound and lengths allow a link. In an opened
+Representatives that share prefix tokens are partitioned into groups: labels spread for a few rounds between them and
+the smallest representatives that hold their tokens, and a label with many documents is split into blocks of bounded
+size. The token-group matrix holds for every prefix token the groups it occurs in, with the lengths found there, where
+there can be several. The overlap of a representative's prefix with a group's union bounds that with any member, and a group is opened only when bound and lengths allow a link. In an opened
 group the overlaps of all members and visitors are one product of their token matrix with itself, exactly, and what
 leaves the task is a spanning forest of the links, never all pairs. Visitors come in bounded portions. Components then
 follow by label propagation with pointer jumping over tables in the shared folder.
@@ -36,6 +36,7 @@ from sparrowmill.llm.shingles import MIX, mixed, shingle_sets
 SKETCH_BITS, PARTS = 22, 64
 BLOCK_DOCS, BLOCK_TOKENS = 500, 500_000
 ROUNDS = 3
+IDENTITY = ["fp1", "fp2", "n"]
 
 
 def linked(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -115,33 +116,59 @@ def summaries(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, prefix array<bigint>")
 
 
+def perhaps(rows: DataFrame, key: list[str], wanted: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` (joined inner: those that can be true, at least) with ``maybe``: true for every key of ``wanted`` and few others, by a bit filter of 2^18 rows at most whatever the number of keys."""
+    bits = 23
+    slot = F.shiftrightunsigned(F.xxhash64(*key), 64 - bits)
+    words = wanted.select(slot.alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 5)).join(F.broadcast(words), "word", how)
+    return found.withColumn("maybe", F.expr("shiftright(coalesce(bits, 0L), cast(slot & 31 as int)) & 1 = 1")).select(*rows.columns, "maybe")
+
+
+def representatives(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """(rep, prefix) of the smallest doc_id of every class. Only rows that the bit filter can't tell from those of ``copied`` classes are shuffled."""
+    told = perhaps(rows.where("n > 0 AND doc_id IS NOT NULL"), IDENTITY, copied)
+    alone = told.where("NOT maybe").select(F.col("doc_id").alias("rep"), "prefix")
+    first = told.where("maybe").groupBy(*IDENTITY).agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
+    return alone.unionByName(first.select(F.col("first.doc_id").alias("rep"), "first.prefix"))
+
+
 def enough(percent: int):
-    """Tokens that a set of n tokens shares at least with the prefix of a set that it links with."""
-    return F.expr(f"1 + ceil({percent} * n / 100) DIV 20")
+    """Tokens that a set of n_low tokens or more shares at least with the prefix of a set that it links with."""
+    return F.expr(f"1 + ceil({percent} * n_low / 100) DIV 20")
+
 
+def grouped(tokens: DataFrame, named: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(rep, home, block, n_low, n_high) of every representative that shares enough tokens: labels along hubs, split into bounded blocks.
 
-def grouped(shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, home, block) of every representative that shares a token: labels along tokens, split into bounded blocks."""
-    homes = scratch.keep(shared.groupBy("rep").agg(F.min("token").alias("home"), F.max("n").alias("n")), "homes")
+    The hub of a token is its smallest representative. Near copies share most of their tokens, so there are far fewer pairs of
+    a representative and a hub than tokens, and labels reach over them whom they reach over tokens.
+    """
+    hubs = scratch.keep(tokens.groupBy("rep", "hub").agg(F.count("*").alias("k")), "hubs")
+    sizes = named.where("doc_id = rep AND n > 0").groupBy("rep").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    able = hubs.groupBy("rep").agg(F.min("hub").alias("home"), F.sum("k").alias("k")).join(sizes, "rep")
+    homes = scratch.keep(able.where(F.col("k") >= enough(percent)).drop("k"), "homes")
+    hubs = scratch.keep(hubs.join(homes.select("rep"), "rep").select("rep", "hub"), "hubs")
     for _ in range(ROUNDS):
-        labels = shared.select("token", "rep").join(homes.select("rep", "home"), "rep").groupBy("token").agg(F.min("home").alias("label"))
-        better = shared.select("token", "rep").join(labels, "token").groupBy("rep").agg(F.min("label").alias("label"))
-        homes = scratch.keep(homes.join(better, "rep").select("rep", F.least("home", "label").alias("home"), "n"), "homes")
-    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    return scratch.keep(homes.join(sizes, "home").select("rep", "home", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")), "groups")
+        labels = scratch.keep(hubs.join(homes.select("rep", "home"), "rep").groupBy("hub").agg(F.min("home").alias("label")), "spread")
+        better = hubs.join(labels, "hub").groupBy("rep").agg(F.min("label").alias("label"))
+        homes = scratch.keep(homes.join(better, "rep").select("rep", F.least("home", "label").alias("home"), "n_low", "n_high"), "homes")
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_high") / BLOCK_TOKENS)).alias("blocks"))
+    return scratch.keep(homes.join(sizes, "home").select("rep", "home", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "n_low", "n_high"), "groups"), hubs
 
 
-def openings(shared: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def openings(tokens: DataFrame, groups: DataFrame, hubs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(home, block, rep, guest): members and visitors of every group to open."""
-    rows = scratch.keep(shared.join(groups, "rep"), "rows")
-    matrix = rows.groupBy("token", "home", "block").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    matrix = matrix.join(several, "token").select("token", F.col("home").alias("to_home"), F.col("block").alias("to_block"), "n_min", "n_max")
+    group = F.struct("home", "block")
+    several = hubs.join(groups, "rep").groupBy("hub").agg(F.min(group).alias("first"), F.max(group).alias("last")).where("first <> last")
+    rows = perhaps(tokens, ["hub"], several, "inner").where("maybe").select("rep", "token").join(groups, "rep")  # all tokens of other hubs are in one group
+    rows = scratch.keep(rows, "rows")
+    matrix = rows.groupBy("token", F.col("home").alias("to_home"), F.col("block").alias("to_block")).agg(F.min("n_low").alias("n_min"), F.max("n_high").alias("n_max"))
     visits = (
         rows.join(matrix, "token")
         .where("home < to_home OR home = to_home AND block < to_block")
-        .where(f"n_max * 100 >= {percent} * n AND n * 100 >= {percent} * n_min")
-        .groupBy(F.col("to_home").alias("home"), F.col("to_block").alias("block"), "rep", "n")
+        .where(f"n_max * 100 >= {percent} * n_low AND n_high * 100 >= {percent} * n_min")
+        .groupBy(F.col("to_home").alias("home"), F.col("to_block").alias("block"), "rep", "n_low")
         .agg(F.count("*").alias("bound"))
         .where(F.col("bound") >= enough(percent))
         .select("home", "block", "rep")
@@ -156,25 +183,13 @@ def openings(shared: DataFrame, groups: DataFrame, percent: int, scratch: Scratc
 
 
 def sets_of(docs: DataFrame, opened: DataFrame, size: int) -> DataFrame:
-    """``opened`` with the tokens of each document. A bit filter of fixed size keeps most other texts out of the shuffle; the join after it is exact."""
-    bits = 23
-    slot = F.shiftrightunsigned(F.xxhash64("rep"), 64 - bits)
-    words = opened.select(slot.alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(1 << (bits - 5), np.int64)
-    found = words.toPandas()  # 2^18 rows at most
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    spread = docs.sparkSession.sparkContext.broadcast(table)
+    """``opened`` with the tokens of each document. The bit filter keeps most other texts out of the shuffle; the join after it is exact."""
 
     def run(batches):
-        seen = spread.value
         for batch in batches:
-            h = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            keep = (seen[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.int64)) & 1
-            batch = batch.filter(pa.array(keep.astype(bool)))
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(2), size)], pa.list_(pa.int64()))], ["rep", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), size)], pa.list_(pa.int64()))], ["rep", "tokens"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("rep"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("h"), "text")
+    rows = perhaps(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text"), ["rep"], opened, "inner").where("maybe").select("rep", "text")
     return rows.mapInArrow(run, "rep bigint, tokens array<bigint>").join(opened, "rep")
 
 
@@ -239,20 +254,19 @@ def joined(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scratch = Scratch(spark, "jaccard")
     rows = scratch.keep(summaries(docs, size, percent, sketch(docs, size)), "sets")
-    identity = ["fp1", "fp2", "n"]
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
-    classes = scratch.keep(classes.select(F.col("first.doc_id").alias("rep"), "n", F.col("first.prefix").alias("prefix")), "classes")
-    tokens = classes.select("rep", F.explode("prefix").alias("token")).withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
-    tokens = scratch.keep(tokens, "tokens")
-    able = tokens.groupBy("rep").agg(F.count("*").alias("k")).join(classes.groupBy("rep").agg(F.min("n").alias("n")), "rep")
-    shared = scratch.keep(tokens.join(able.where(F.col("k") >= enough(percent)).select("rep", "n"), "rep"), "shared")
-    groups = grouped(shared, scratch)
-    opened = openings(shared, groups, percent, scratch)
+    copied = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*IDENTITY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    copied = scratch.keep(copied, "copied")
+    named = scratch.keep(rows.drop("prefix").join(copied, IDENTITY, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
+    same = Window.partitionBy("token")
+    tokens = representatives(rows, copied).select("rep", F.explode("prefix").alias("token")).withColumns({"hub": F.min("rep").over(same), "last": F.max("rep").over(same)})
+    tokens = scratch.keep(tokens.where("hub < last").drop("last"), "tokens")
+    scratch.drop(rows)  # the prefixes of all sets, the largest table here
+    groups, hubs = grouped(tokens, named, percent, scratch)
+    opened = openings(tokens, groups, hubs, percent, scratch)
+    scratch.drop(tokens)
     links = sets_of(docs, opened, size).groupBy("home", "block", "portion").applyInPandas(lambda f: spanned(f, percent), "a bigint, b bigint")
-    label = labelled(links, scratch)
-    ids = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
-    ids = ids.join(label.withColumnRenamed("node", "rep"), "rep", "left").where("k > 1 OR label IS NOT NULL").select(*identity, F.coalesce("label", "rep").alias("component"))
-    return rows.select("doc_id", *identity).join(ids, identity, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    label = labelled(links, scratch).withColumnsRenamed({"node": "rep", "label": "component"})
+    return named.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

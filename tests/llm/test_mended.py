@@ -3,11 +3,13 @@
 import random
 from collections import Counter, defaultdict
 from hashlib import md5
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from sparrowmill.llm import exact_dedup, html_extract, jaccard_join, line_dedup, mixing, toxicity
+from sparrowmill.llm.scratch import Scratch
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars int"
 
@@ -136,6 +138,34 @@ def test_very_large_sets_link():
     assert jaccard_join.linked(n - 1, n, n, 85).all() and not jaccard_join.linked(n // 2, n, n, 85).any()
 
 
+def test_join_keeps_no_table_of_all_prefixes(spark, monkeypatch):
+    """The prefixes of all sets are on disk once, and no more when they have been joined."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(str(rng.randrange(10**6)) for _ in range(400))) for k in range(300)], "doc_id bigint, text string")
+    sizes, keep = [], Scratch.keep
+
+    def kept(self, df, name="t"):
+        found = keep(self, df, name)
+        sizes.append(sum(p.stat().st_size for p in Path(self.root).rglob("*.parquet")))
+        return found
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    assert all(r.doc_id == r.component_id for r in jaccard_join.joined(docs).collect())
+    whole = 300 * 8 * jaccard_join.prefix_size(397, 85)
+    assert max(sizes) < 1.5 * whole and sizes[-1] < 0.5 * whole
+
+
+def test_join_of_ids_with_texts_of_different_lengths(spark, monkeypatch):
+    """Blocks of one document: what a group is asked for holds for the longest text of an id as well as for the shortest."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 1)
+    rows = []
+    for k in range(12):
+        long = [f"w{k}.{i}" for i in range(100)]
+        rows += [(k, " ".join(long)), (k, " ".join(long[:10])), (100 + k, " ".join([*long[:-1], "other"]))]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.joined(docs).collect()} == {i: i % 100 for i, _ in rows}
+
+
 def test_long_texts_are_cut_between_words_only(monkeypatch):
     monkeypatch.setattr(toxicity, "LONG", 20)
     rng = random.Random(2)
