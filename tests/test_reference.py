@@ -258,3 +258,24 @@ def test_hops_of_a_long_chain(spark):
     assert {r.page: r.hops for r in graph.hop_distances(edges, "p0").collect()} == {f"p{k}": k for k in range(14)}
     with pytest.raises(ValueError, match="beyond 5"):
         graph.hop_distances(edges, "p0", limit=5)
+
+
+def test_few_cells_are_assigned_as_many(monkeypatch):
+    rng = np.random.default_rng(6)
+    side = lambda n: [{"tag": "ab"[rng.integers(2)], "text": " ".join(rng.choice(list("uvwx|"), rng.integers(0, 4))), "index": int(rng.integers(-1, 9)), "bounds": "", "depth": 0} for k in range(n)]
+    cases = [(side(rng.integers(0, 20)), side(rng.integers(0, 20))) for _ in range(60)]
+    loops = [matching.pairs(p, matching.Tree.of(t)) for p, t in cases]
+    monkeypatch.setattr(matching, "FEW", -1)
+    assert loops == [matching.pairs(p, t) for p, t in cases]
+
+
+def test_states_are_read_once(spark, tmp_path):
+    rows = [(k, "u", f"<ul><li>{k % 3} a</li><li>b {k % 2}</li>{'<p>c</p>' * (k % 4)}</ul>" if k != 5 else None) for k in range(12)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    texts = {k: html for k, _, html in rows}
+    df = states(spark, [(k, texts[k], texts[k + 1], texts[k + 2]) for k in range(10)])
+    pair = lambda a, b: trees.paired(df, "k", a, b)
+    found = catalog.QUERIES["diff04_state_diff"](spark, str(tmp_path))
+    assert sorted(map(str, found.collect())) == sorted(map(str, trees.state_diff(pair("current", "truth"), pair("current", "pred"), pair("pred", "truth")).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "html" not in plan  # all pairings of a row at once, from what was read before
