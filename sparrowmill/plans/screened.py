@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import screens as S
+from sparrowmill.operators.ordering import spread
 from sparrowmill.plans.registry import query
 
 LINES = "(SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INT)) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
@@ -14,17 +15,16 @@ ENCODED = f"(SELECT l_orderkey, any_value(n) AS n, '<div index=\"0\">' || string
 
 def dumps(t):
     """(l_orderkey, xml): per order a frame; per line a wrapper of one button and of an empty leaf, and a node without an area."""
-    x, q = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")
     bounds = lambda a, b: F.concat(F.lit(' bounds="[0,'), a, F.lit("]["), b, F.lit(',99]"'))
-    button = F.concat(F.lit('<node class="android.widget.Button" clickable="true" text="'), q, F.lit('"'), bounds(x, q), F.lit("/>"))
-    line = F.concat(F.lit('<node class="LinearLayout">'), button, F.lit('<node class="View"/></node><node class="Button" clickable="true" bounds="[0,0][0,0]" text="gone"/>'))
-    rows = t["lineitem"].groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), line.alias("x")))).alias("xs"))
-    body = F.array_join(F.transform("xs", lambda r: r["x"]), "")
+    button = lambda x, q: F.concat(F.lit('<node class="android.widget.Button" clickable="true" text="'), q, F.lit('"'), bounds(x, q), F.lit("/>"))
+    line = lambda x, q: F.concat(F.lit('<node class="LinearLayout">'), button(x, q), F.lit('<node class="View"/></node><node class="Button" clickable="true" bounds="[0,0][0,0]" text="gone"/>'))
+    rows = spread(t["lineitem"].select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q")), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))).alias("xs"))
+    body = F.array_join(F.transform("xs", lambda r: line(r["l_linenumber"].cast("string"), r["q"].cast("string"))), "")
     return rows.select("l_orderkey", F.concat(F.lit('<hierarchy rotation="0"><node class="android.widget.FrameLayout">'), body, F.lit("</node></hierarchy>")).alias("xml"))
 
 
-def screens(t):
-    return dumps(t).select("l_orderkey", "xml", S.screen("xml").alias("s"))
+def screens(t, *forms):
+    return dumps(t).select("l_orderkey", "xml", S.screen("xml", *forms).alias("s"))
 
 
 @query("xml01_screens", "SELECT l_orderkey, md5(coalesce(encoded, '')) AS encoded, md5(regexp_replace(coalesce(encoded, ''), '(>[0-9]+</button>)|( index=\"[0-9]+\")', '', 'g')) AS stripped, n AS n_buttons FROM " + ENCODED + " e")

@@ -97,11 +97,12 @@ def regenerated_forms(found: DataFrame) -> DataFrame:
     paged = rows.where("in_pages").select("package").distinct().withColumn("paged", F.lit(True))
     dumps = rows.where(F.col("path").rlike(f"{new}|{old}")).join(paged, "package", "left").where(F.col("path").rlike(new) | F.col("paged").isNull())
     stem = F.when(F.col("in_pages"), F.regexp_replace("path", r"raw\.xml\z", "")).otherwise(F.regexp_replace("path", r"\.xml\z", "_"))
-    shown = dumps.select("package", F.col("path").alias("source"), stem.alias("stem"), screens.screen(F.make_valid_utf8(F.col("content").cast("string"))).alias("s"))
-    forms = shown.select("package", "source", "stem", *(F.col(f"s.{c}").alias(c) for c in FORMS))
-    unread = forms.where("parsed = ''").select("package", "source", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"))
-    made = _apart(forms.where("parsed <> ''"), ["package", "source", "stem"], FORMS)
-    return made.select("package", "source", F.concat("stem", "name").alias("path"), "content").unionByName(unread)
+    shown = dumps.select("package", F.col("path").alias("source"), stem.alias("stem"), screens.screen(F.make_valid_utf8(F.col("content").cast("string")), *FORMS).alias("s"))
+    # a dump is read once: its forms and the row of one that can't be read come from the same list
+    one = [F.struct(F.concat("stem", F.lit(name)).alias("path"), F.col(f"s.{c}").cast("binary").alias("content")) for c, name in FORMS.items()]
+    unread = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content")))
+    files = F.when(F.col("s.parsed") == "", unread).otherwise(F.filter(F.array(*one), lambda f: F.length(f["content"]) > 0))
+    return shown.select("package", "source", F.explode(files).alias("f")).select("package", "source", "f.*")
 
 
 def stored(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import screens as S
+from sparrowmill.plans import catalog
 
 DUMP = """<hierarchy rotation="0"><node class="android.widget.FrameLayout" bounds="[0,0][9,9]" package="a.b">
  <node class="android.widget.LinearLayout"><node class="x.TextView" text="Hi &amp; &lt;b&gt;" resource-id="a.b:id/title" bounds="[1,1][2,2]"/></node>
@@ -78,3 +79,29 @@ def test_columns(spark):
     assert [(e["index"], e.signature, e.short) for e in a.scrollers] == [(-1, "scroll:a.b:id/list:RecyclerView", "<scroll>list</scroll>")]
     assert a.raw == [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14] and a.names == ["list", "find", "on"] and a.button == 10
     assert got[1].lines == got[2].lines == [] and got[1].button is None and got[1].acting == [] and got[1].f == got[2].f != a.f
+
+
+def test_repeated_elements_stay_apart(monkeypatch):
+    node = '<node class="Button" clickable="true" text="a" bounds="[0,0][{0},9]"/>'
+    dump = "<hierarchy><node>" + node.format(1) * 3 + node.format(2) + "</node></hierarchy>"
+    monkeypatch.setattr(S, "KNOWN", 2)
+    first = S.normalised(dump)
+    assert [i["index"] for i in first["items"]] == list(range(5)) and [i["bounds"] for i in first["items"]][1:] == ["[0,0][1,9]"] * 3 + ["[0,0][2,9]"]
+    assert S.normalised(dump) == first and len(S._known) <= 2
+
+
+def test_some_forms_and_attributes(spark):
+    df = spark.createDataFrame([(1, DUMP), (2, None), (3, "<a><b></a>")], "k int, xml string")
+    got = df.select("k", S.screen("xml").alias("a"), S.screen("xml", "items", "encoded").alias("b"), S.raw_elements(F.col("xml")).alias("r"), S.raw_elements(F.col("xml"), "text").alias("few")).collect()
+    for r in got:
+        assert r.b.asDict().keys() == {"encoded", "items"} and r.b["items"] == r.a["items"] and r.b.encoded == r.a.encoded == S.normalised(r.k == 1 and DUMP or None)["encoded"]
+        assert [(e["index"], e.text, e.box) for e in r.r] == [(e["index"], e.text, e.box) for e in r.few]
+
+
+def plan(spark, name):
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_dumps_are_read_once(spark):
+    for name in ("xml07_regenerated_forms",):
+        assert plan(spark, name).count("ArrowEvalPython") == 1, name
