@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowmill.operators import trees
 from sparrowmill.operators.trees import f1, share
 
 STRICT = 0.9
@@ -41,27 +44,78 @@ def marks(current_true: DataFrame) -> DataFrame:
 
 
 def audited(current_true: DataFrame, current_pred: DataFrame, pred_true: DataFrame, strict: float = STRICT) -> DataFrame:
-    """(key, side, kind, pos, other, sim, outcome) of each change that the true next state asks for and that the predicted one claims.
+    """``of_states`` of three pairings of the same keys."""
+    return of_states(trees.joined(current_true, current_pred, pred_true), strict)
+
+
+def _runs(sizes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place of each row's elements where all follow each other, and each element's row and place in it."""
+    n = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    return first, row, np.arange(len(row)) - first[row]
+
+
+def _flat(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ends of all pairs, as places among the elements of all rows, and their similarities."""
+    row = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    ends = lists.flatten()
+    at = np.searchsorted(row, np.arange(len(ends)), side="right")
+    column = lambda n: ends.field(n).to_numpy(zero_copy_only=False)
+    return left[at] + column("l"), right[at] + column("r"), column("sim")
+
+
+def of_states(states: DataFrame, strict: float = STRICT) -> DataFrame:
+    """(key, side, kind, pos, other, sim, outcome) of each change that the true next state asks for and that the predicted one claims, from ``trees.states``.
 
     True side: strict or loose hit, copied (paired with an element that the prediction left as it was) or missed. Predicted side:
     strict or loose hit, nochange (paired with one that stays) or made up. Shared deletions are strict hits; other ones are missed
-    or made up. ``other`` is the paired element's place.
+    or made up. ``other`` is the paired element's place. All that a state needs is in its row, so nothing is joined.
     """
-    true, claimed = changed(current_true), changed(current_pred, emptied=False)
-    met = _long(pred_true)  # l: predicted, r: true
-    moves = lambda df: df.where("kind <> 'D'").select("key", "pos").withColumn("hit", F.lit(True))
-    gone = lambda df: df.where("kind = 'D'").select("key", "pos").withColumn("hit", F.lit(True))
-
-    def side(name: str, own: DataFrame, other: DataFrame, mine: str, theirs: str, same: str, none: str) -> DataFrame:
-        pairs = met.select("key", F.col(mine).alias("pos"), F.col(theirs).alias("other"), "sim")
-        rows = own.where("kind <> 'D'").join(pairs, ["key", "pos"], "left").join(moves(other).withColumnRenamed("pos", "other"), ["key", "other"], "left")
-        outcome = F.when(F.col("other").isNull(), none).when(F.col("hit").isNull(), same).when(F.col("sim") >= strict, "strict").otherwise("loose")
-        rows = rows.select("key", F.lit(name).alias("side"), "kind", "pos", "other", "sim", outcome.alias("outcome"))
-        dropped = own.where("kind = 'D'").join(gone(other), ["key", "pos"], "left")
-        dropped = dropped.select("key", F.lit(name).alias("side"), "kind", "pos", F.lit(None).cast("int").alias("other"), F.lit(None).cast("double").alias("sim"), F.when(F.col("hit"), "strict").otherwise(none).alias("outcome"))
-        return rows.unionByName(dropped)
-
-    return side("true", true, claimed, "r", "l", "copied", "missed").unionByName(side("predicted", claimed, true, "l", "r", "nochange", "made_up"))
+    schema = pa.schema([("key", pa.int64()), ("side", pa.string()), ("kind", pa.string()), ("pos", pa.int32()), ("other", pa.int32()), ("sim", pa.float64()), ("outcome", pa.string())])
+
+    def rows(key, name, row, pos, kind, other, sim, outcome):
+        columns = [key.take(pa.array(row)), pa.array([name] * len(row), pa.string()), pa.array(kind, pa.string()), pa.array(pos, pa.int32()), pa.array(other, pa.int32(), mask=other < 0), pa.array(sim, mask=other < 0), pa.array(outcome, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def moves(key, name, run, changed, paired, other_run, other_changed, sim, same, none):
+        """Added and modified elements of one side, paired with those of the other."""
+        (_, row, pos), at = run, np.flatnonzero(changed > 0)
+        other = paired[at]
+        hit = (other >= 0) & (other_changed[other] > 0) if len(other_changed) else np.zeros(len(at), bool)
+        outcome = np.where(other < 0, none, np.where(~hit, same, np.where(sim[at] >= strict, "strict", "loose")))
+        place = np.where(other >= 0, other_run[2][other], -1) if len(other_run[2]) else np.full(len(at), -1)
+        return rows(key, name, row[at], pos[at], np.where(changed[at] == 2, "M", "A"), place, sim[at], outcome)
+
+    def audit(batches):
+        for batch in batches:
+            for part in (batch.slice(at, trees.PAGES) for at in range(0, len(batch), trees.PAGES)):
+                key, *sizes = (part.column(k) for k in range(4))
+                cur, true, pred = (_runs(n) for n in sizes)
+                changed = []  # 1 added, 2 modified, 0 unchanged elements of the true and of the predicted state
+                gone = []
+                for which, run in ((4, true), (5, pred)):
+                    left, right, sim = _flat(part.column(which), cur[0], run[0])
+                    kind, lost = np.ones(len(run[1]), np.int8), np.ones(len(cur[1]), bool)
+                    kind[right], lost[left] = np.where(sim < 1, 2, 0), False
+                    changed.append(kind)
+                    gone.append(lost)
+                gone[1] &= (sizes[2].to_numpy(zero_copy_only=False) > 0)[cur[1]]  # a prediction without elements claims nothing
+                left, right, sim = _flat(part.column(6), pred[0], true[0])
+                ends = []
+                for run, mine, theirs in ((true, right, left), (pred, left, right)):
+                    other, alike = np.full(len(run[1]), -1), np.full(len(run[1]), np.nan)
+                    other[mine], alike[mine] = theirs, sim
+                    ends.append((other, alike))
+                yield moves(key, "true", true, changed[0], ends[0][0], pred, changed[1], ends[0][1], "copied", "missed")
+                yield moves(key, "predicted", pred, changed[1], ends[1][0], true, changed[0], ends[1][1], "nochange", "made_up")
+                for name, mine, theirs, none in (("true", *gone, "missed"), ("predicted", *gone[::-1], "made_up")):
+                    at = np.flatnonzero(mine)
+                    nothing = np.full(len(at), -1)
+                    yield rows(key, name, cur[1][at], cur[2][at], ["D"] * len(at), nothing, np.full(len(at), np.nan), np.where(theirs[at], "strict", none))
+
+    names = ["key", "n_cur", "n_true", "n_pred", "current_true", "current_pred", "pred_true"]
+    return states.select(*names).mapInArrow(audit, "key bigint, side string, kind string, pos int, other int, sim double, outcome string")
 
 
 def summed(audit: DataFrame, current_true: DataFrame) -> DataFrame:

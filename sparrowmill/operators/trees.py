@@ -168,13 +168,18 @@ def _ends(c, end: str, test=None) -> Column:
     return F.transform(F.filter(c, test) if test else c, lambda x: x[end])
 
 
-def state_diff(current_true: DataFrame, current_pred: DataFrame, pred_true: DataFrame, strict: float = 0.9) -> DataFrame:
-    """``diffed`` of three pairings of the same keys."""
-    rows = (
+def joined(current_true: DataFrame, current_pred: DataFrame, pred_true: DataFrame) -> DataFrame:
+    """Three pairings of the same keys in the columns of ``states``, without ``met``."""
+    return (
         current_true.select("key", F.col("n_left").alias("n_cur"), F.col("n_right").alias("n_true"), F.col("pairs").alias("current_true"))
         .join(current_pred.select("key", F.col("n_right").alias("n_pred"), F.col("pairs").alias("current_pred")), "key")
         .join(pred_true.select("key", F.col("pairs").alias("pred_true")), "key")
     )
+
+
+def state_diff(current_true: DataFrame, current_pred: DataFrame, pred_true: DataFrame, strict: float = 0.9) -> DataFrame:
+    """``diffed`` of three pairings of the same keys."""
+    rows = joined(current_true, current_pred, pred_true)
     # a pair of changed elements on both sides: pairs whose ends are not among the unchanged, by anti-joins of long tables
     long = rows.select("key", F.explode("pred_true").alias("x")).select("key", "x.l", "x.r", "x.sim")
     kept = lambda c, name: rows.select("key", F.explode(_ends(c, "r", same())).alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.operators import absorbed, allocation, audits, ngrams, samples, trees, weights
-from sparrowmill.plans.computed import TURNS, page_states, turns
+from sparrowmill.plans.computed import TURNS, page_states, stated, turns
 from sparrowmill.plans.registry import query
 from sparrowmill.sources import builds
 
@@ -127,27 +127,24 @@ def met06_bleu(t):
     return found.select("key", F.round(ngrams.sentence_bleu(), 6).alias("bleu"))
 
 
-def pairings(t):
-    states = page_states(t).select("page_id", "current", "truth", "pred")
-    return [allocation.held(trees.paired(states, "page_id", a, b), "pairs") for a, b in (("current", "truth"), ("current", "pred"), ("pred", "truth"))]
-
-
 @query("diff06_change_audit")
 def diff06(t):
-    return audits.audited(*pairings(t)).groupBy("key", "side", "kind", "outcome").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("sim"))
+    return audits.of_states(stated(t)).groupBy("key", "side", "kind", "outcome").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("sim"))
 
 
 @query("diff06_audit_agrees", """SELECT count(*) AS keys, 0 AS differences FROM pages a WHERE EXISTS (FROM pages b WHERE b.page_id = a.page_id + 1) AND EXISTS (FROM pages c WHERE c.page_id = a.page_id + 2)""")
 def diff06_agrees(t):
-    three = pairings(t)
-    by_audit = audits.summed(audits.audited(*three), three[0])
-    found = audits.differences(by_audit, trees.state_diff(*three))
+    states = allocation.held(stated(t), "states")
+    by_audit = allocation.held(audits.summed(audits.of_states(states), states.select("key", F.col("n_cur").alias("n_left"))), "audit")
+    found = audits.differences(by_audit, allocation.held(trees.diffed(states).select("key", *audits.COUNTS, *audits.SCORES), "rows"))
     return by_audit.agg(F.count("*").alias("keys")).crossJoin(F.broadcast(found.agg(F.count("*").alias("differences"))))  # one row each
 
 
 @query("diff06_marks")
 def diff06_marks(t):
-    return audits.marks(pairings(t)[0]).groupBy("key", "tree", "mark").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    states = page_states(t).select("page_id", "current", "truth")
+    true = allocation.held(trees.paired(states, "page_id", "current", "truth"), "pairs")
+    return audits.marks(true).groupBy("key", "tree", "mark").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 @query("fn51_absorbed_texts")

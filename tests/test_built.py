@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.functions import kernels, markup
+from sparrowmill.functions import kernels, markup, matching
 from sparrowmill.operators import absorbed, allocation, audits, ngrams, samples, trees, weights
 from sparrowmill.sources import builds, tfrecord
 
@@ -139,6 +139,35 @@ def test_audit_adds_up(spark):
     assert sorted((r.key, r.measure) for r in audits.differences(wrong, by_row).collect()) == [(7, "n_change_pred"), (9, "key")]
 
 
+def plain_audit(current, truth, pred):
+    """(side, kind, pos, other, outcome) by sets of one row."""
+    n, ct, cp, pt = [len(markup.elements(x)) for x in (current, truth, pred)], *(matching.pairs(*map(markup.elements, x)) for x in ((current, truth), (current, pred), (pred, truth)))
+
+    def changes(found, size, claims):
+        same, mod = {x[1] for x in found if x[3] >= 1}, {x[1] for x in found if x[3] < 1}
+        return {k: "M" if k in mod else "A" for k in range(size) if k not in same}, set(range(n[0])) - {x[0] for x in found} if claims else set()
+
+    (true, lost), (claimed, dropped) = changes(ct, n[1], True), changes(cp, n[2], n[2] > 0)
+    out = [(name, "D", k, None, "strict" if k in theirs else none) for name, mine, theirs, none in (("true", lost, dropped, "missed"), ("predicted", dropped, lost, "made_up")) for k in mine]
+    for name, mine, theirs, at, same, none in (("true", true, claimed, 1, "copied", "missed"), ("predicted", claimed, true, 0, "nochange", "made_up")):
+        by = {x[at]: (x[1 - at], x[3]) for x in pt}
+        out += [(name, kind, k, by.get(k, (None,))[0], none if k not in by else same if by[k][0] not in theirs else "strict" if by[k][1] >= 0.9 else "loose") for k, kind in mine.items()]
+    return out
+
+
+def test_audit_of_rows_needs_no_join(spark):
+    rng = random.Random(9)
+    page = lambda: "<ul>" + "".join(f"<{t}>{' '.join(rng.choices('abcd', k=rng.randrange(3)))}</{t}>" for t in rng.choices(["li", "p", "i"], k=rng.randrange(6))) + "</ul>"
+    rows = [(k, page(), page(), page()) for k in range(50)] + [(50, "", "<p>x</p>", ""), (51, "<p>x</p>", "", "<p>y</p>"), (52, None, None, None), (53, "<p>x</p>", "<p>x</p>", "")]
+    df = spark.createDataFrame(rows, "k bigint, current string, truth string, pred string")
+    got = audits.of_states(trees.states(df, "k", "current", "truth", "pred"))
+    want = [(k, *x) for k, *texts in rows for x in plain_audit(*texts)]
+    known = lambda found: sorted(found, key=str)
+    assert known((r.key, r.side, r.kind, r.pos, r.other, r.outcome) for r in got.collect()) == known(want)
+    assert known(audits.audited(*three(spark, rows)).collect()) == known(got.collect())
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_absorbed_texts(spark):
     odd = "<a><b><c id='x'>1</c><c>2<d/></c></b>tail<e><f/></e></a>"
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()]
