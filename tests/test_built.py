@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions import kernels, markup, matching
 from sparrowmill.operators import absorbed, allocation, audits, ngrams, samples, trees, weights
+from sparrowmill.plans import catalog
 from sparrowmill.sources import builds, tfrecord
 
 SF = "/root/testdata/sf0.001"
@@ -256,3 +257,8 @@ def test_large_files_stay_small_in_memory(tmp_path):
     assert sum(1 for _ in tfrecord.records(parts[-1])) + sum(1 for _ in tfrecord.records(parts[0])) > 100
     assert tracemalloc.get_traced_memory()[1] < 8 * size
     tracemalloc.stop()
+
+
+def test_change_audit_sends_no_table_through_the_driver(spark):
+    shown = catalog.QUERIES["diff06_change_audit"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in shown and shown.split("== Initial Plan ==")[0].count("SortMergeJoin") == 2  # the pages of a state, by their numbers
