@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -94,11 +96,20 @@ def page_states(t):
     return at(0, "current").join(at(1, "truth"), "page_id").join(at(2, "pred"), "page_id")
 
 
+def _followed(pages, *names):
+    """Each row of (page_id, tree) with those of the next page_ids, in tasks of even numbers of rows."""
+    at = lambda k, name: spread(pages.select((F.col("page_id") - k).alias("page_id"), F.col("tree").alias(name)), "page_id").hint("merge")
+    return reduce(lambda a, b: a.join(b, "page_id"), (at(k, name) for k, name in enumerate(names)))
+
+
 def stated(t):
     """``trees.states`` of ``page_states``, for which each page is read once."""
-    pages = trees.trees(t["pages"], "page_id", "html")
-    at = lambda k, name: spread(pages.select((F.col("page_id") - k).alias("page_id"), F.col("tree").alias(name)), "page_id").hint("merge")
-    return trees.states(at(0, "current").join(at(1, "truth"), "page_id").join(at(2, "pred"), "page_id"), "page_id", "current", "truth", "pred")
+    return trees.states(_followed(trees.trees(t["pages"], "page_id", "html"), "current", "truth", "pred"), "page_id", "current", "truth", "pred")
+
+
+def trees_of_pairs(t):
+    """(page_id, current, truth): the trees of ``page_pairs``, for which each page is read once."""
+    return _followed(trees.trees(t["pages"], "page_id", "html"), "current", "truth")
 
 
 @query("fn46_elements")
@@ -150,9 +161,8 @@ def diff04(t):
 @query("diff07_copy_baseline")
 def diff07(t):
     """The row of a prediction that copies the current state."""
-    states = page_pairs(t).select("page_id", F.col("html").alias("current"), F.col("following").alias("truth"))
-    true = trees.paired(states, "page_id", "current", "truth")
-    return trees.state_diff(true, trees.paired(states, "page_id", "current", "current"), true)
+    states = trees_of_pairs(t).withColumn("pred", F.col("current"))
+    return trees.diffed(trees.states(states, "page_id", "current", "truth", "pred"))
 
 
 @query("flt05_copy_bias")

@@ -292,3 +292,9 @@ def test_worst_case_orders_as_its_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     got = catalog.QUERIES["agg10_worst_case"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(db.execute(catalog.ORACLES["agg10_worst_case"]).fetchall()) and {r.l_orderkey: r.label for r in got}[1] == "R"
+
+
+def test_copy_baseline_reads_pages_once(spark):
+    found = catalog.QUERIES["diff07_copy_baseline"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "html" not in plan
