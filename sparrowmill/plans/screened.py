@@ -49,7 +49,7 @@ def fn55(t):
 
 @query("fn56_acting_elements", f"SELECT l_orderkey, k AS index, 'button::' || q AS signature, 'touch,long_touch' AS actions, q // 2 AS x, (l_linenumber + 99) // 2 AS y, '<button>' || q || '</button>' AS short, 'button::' || q || 'x' || (99 - l_linenumber) AS struct_key FROM {LINES} x")
 def fn56(t):
-    acting = screens(t).select("l_orderkey", F.explode(S.acting(F.col("s.items"))).alias("e"))
+    acting = screens(t, "items").select("l_orderkey", F.explode(S.acting(F.col("s.items"))).alias("e"))
     return acting.select("l_orderkey", "e.index", "e.signature", F.array_join("e.actions", ",").alias("actions"), "e.middle.x", "e.middle.y", "e.short", "e.struct_key")
 
 
