@@ -43,7 +43,7 @@ def xml06(t):
 
 @query("fn55_raw_elements", f"SELECT l_orderkey, 4 * k - 2 AS index, CAST(q AS VARCHAR) AS text, (q * (99 - l_linenumber))::BIGINT AS area FROM {LINES} x WHERE q * (99 - l_linenumber) > 0")
 def fn55(t):
-    shown = dumps(t).select("l_orderkey", F.explode(F.filter(S.raw_elements(F.col("xml")), S.clickable)).alias("e"))
+    shown = dumps(t).select("l_orderkey", F.explode(F.filter(S.raw_elements(F.col("xml"), "text", "clickable", "enabled"), S.clickable)).alias("e"))
     return shown.select("l_orderkey", (F.col("e.index")).alias("index"), F.col("e.text").alias("text"), S.area(F.col("e")).alias("area"))
 
 
