@@ -31,7 +31,7 @@ def screens(t, *forms):
 def xml01(t):
     """Encoded form; it and the form of structure alone agree once numbers and texts are gone."""
     bare = F.regexp_replace("s.hierarchy", " />", "")
-    s = screens(t).select("l_orderkey", "s.encoded", bare.alias("bare"), F.size(S.interactable_indexes(F.col("s.items"))).alias("n_buttons"))
+    s = screens(t, "hierarchy", "encoded", "items").select("l_orderkey", "s.encoded", bare.alias("bare"), F.size(S.interactable_indexes(F.col("s.items"))).alias("n_buttons"))
     return s.select("l_orderkey", F.md5("encoded").alias("encoded"), F.md5("bare").alias("stripped"), "n_buttons")
 
 
