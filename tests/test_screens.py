@@ -103,5 +103,5 @@ def plan(spark, name):
 
 
 def test_dumps_are_read_once(spark):
-    for name in ("xml07_regenerated_forms",):
+    for name in ("xml07_regenerated_forms", "fn60_dialog_button"):
         assert plan(spark, name).count("ArrowEvalPython") == 1, name
