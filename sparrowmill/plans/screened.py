@@ -37,7 +37,7 @@ def xml01(t):
 
 @query("xml06_bounds_by_index", f"SELECT l_orderkey, k AS index, '[0,' || l_linenumber || '][' || q || ',99]' AS bounds FROM {LINES} x")
 def xml06(t):
-    items = screens(t).select("l_orderkey", F.explode("s.items").alias("e"))
+    items = screens(t, "items").select("l_orderkey", F.explode("s.items").alias("e"))
     return items.where("e.bounds <> ''").select("l_orderkey", F.col("e.index").alias("index"), F.col("e.bounds").alias("bounds"))
 
 
