@@ -23,15 +23,22 @@ _PAIR = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32()), ("cost", pa.fl
 def elements(df: DataFrame, key: str, text: str, kind: str = "full", place: str = "index", aria: bool = False) -> DataFrame:
     """(key, pos, tag, text, index, bounds, depth): a row for each element of each row's markup; null markup has none."""
 
+    def record(keys, pos, found):
+        columns = [keys, pos, *([e[n] for e in found] for n in schema.names[2:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     def run(batches):
         for batch in batches:
-            rows = []
+            keys, pos, found = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [{"key": key, "pos": k, **e} for k, e in enumerate(markup.elements(text, kind, place, aria))]
-                if len(rows) > ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                own = markup.elements(text, kind, place, aria)
+                keys += [key] * len(own)
+                pos += range(len(own))
+                found += own
+                if len(found) > ROWS:
+                    yield record(keys, pos, found)
+                    keys, pos, found = [], [], []
+            yield record(keys, pos, found)
 
     schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("index", pa.int64()), ("bounds", pa.string()), ("depth", pa.int32())])
     return df.select(F.col(key).cast("bigint").alias("key"), text).mapInArrow(run, "key bigint, pos int, tag string, text string, index bigint, bounds string, depth int")

@@ -83,7 +83,7 @@ def msc04(t):
 @query("msc22_packed_screens", f"SELECT l_orderkey, max(q) AS width, 99 AS height, (count(*) + 1)::INT AS n_items, 1 AS deepest, string_agg(k || ':' || q || ':b:[0,' || l_linenumber || '][' || q || ',99]', '|' ORDER BY k) AS items FROM {LINES} x GROUP BY l_orderkey HAVING count(*) > 1")
 def msc22(t):
     """Parsed forms of orders' screens: an unbounded frame around buttons (screens of one button have no frame)."""
-    shown = packed.packed(dumps(t).select("l_orderkey", S.screen("xml")["parsed"].alias("parsed")), "l_orderkey", "parsed").where(F.size("items") > 2)
+    shown = packed.packed(dumps(t).select("l_orderkey", S.screen("xml", "parsed")["parsed"].alias("parsed")), "l_orderkey", "parsed").where(F.size("items") > 2)
     bounded = F.filter("items", lambda i: i["box"].isNotNull())
     text = F.transform(bounded, lambda i: F.concat_ws(":", i["pos"].cast("string"), i["text"], i["slot"]))
     depth = F.array_max(F.transform("items", lambda i: i["depth"])) - F.array_min(F.transform("items", lambda i: i["depth"]))
