@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,11 @@ def elements(df: DataFrame, key: str, text: str, kind: str = "full", place: str
 @F.arrow_udf(T.BinaryType())
 def tree(texts: pa.Array) -> pa.Array:
     """What pairing by index needs of a markup text, so that a text that is paired several times is read once."""
-    return pa.array([pickle.dumps(matching.Tree.of(markup.elements(x.as_py())), 5) for x in texts], pa.binary())
+    return pa.array([zlib.compress(pickle.dumps(matching.Tree.of(markup.elements(x.as_py())), 5), 1) for x in texts], pa.binary())
 
 
 def _tree(x: str | bytes | None, kind: str = "full", place: str = "index") -> matching.Tree:
-    return pickle.loads(x) if isinstance(x, bytes) else matching.Tree.of(markup.elements(x, kind, place))
+    return pickle.loads(zlib.decompress(x)) if isinstance(x, bytes) else matching.Tree.of(markup.elements(x, kind, place))
 
 
 def _lists(found: list[list[tuple]]) -> pa.ListArray:
